@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup
-
-QUERIES = {f.__name__: f for f in (near_dup.op8_near_dup,)}
+from . import near_dup, packing
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packing.op1_packing,
+        near_dup.op8_near_dup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
