@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dup, packing
+from . import near_dup, packing, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_packing,
+        secrets.op2_secrets,
         near_dup.op8_near_dup,
     )
 }
