@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup, packing, secrets
+from . import near_dup, packing, quality, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_packing,
         secrets.op2_secrets,
+        quality.op5_quality,
         near_dup.op8_near_dup,
     )
 }
