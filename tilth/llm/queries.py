@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import near_dup, packing, quality, secrets
+from . import near_dup, packing, quality, secrets, wavelet
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         packing.op1_packing,
         secrets.op2_secrets,
         quality.op5_quality,
+        wavelet.op6_wavelet_files,
         near_dup.op8_near_dup,
     )
 }
