@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import near_dup, packing, quality, secrets, wavelet
+from . import lm, near_dup, packing, quality, secrets, wavelet
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_packing,
         secrets.op2_secrets,
+        lm.op4_lm_score,
         quality.op5_quality,
         wavelet.op6_wavelet_files,
         near_dup.op8_near_dup,
