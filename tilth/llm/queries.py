@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, near_dup, packing, quality, secrets, wavelet
+from . import lm, near_dup, packing, quality, repeats, secrets, wavelet
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         quality.op5_quality,
         wavelet.op6_wavelet_files,
         near_dup.op8_near_dup,
+        repeats.op9_repeats,
     )
 }
 
