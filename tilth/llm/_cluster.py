@@ -67,3 +67,11 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def dealt_in_order(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` dealt out by ranges of ``order``, with each row's range number as ``pid``; the ranges hold from then on.
+    A window over (pid, key) then stays within a bounded part of even the largest key, and what crosses a border can
+    be carried over from one row a (key, pid)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()))

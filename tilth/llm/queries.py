@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, near_dup, packing, quality, repeats, secrets, wavelet
+from . import lm, near_dup, packing, quality, repeats, secrets, spotsigs, wavelet
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         wavelet.op6_wavelet_files,
         near_dup.op8_near_dup,
         repeats.op9_repeats,
+        spotsigs.op10_spotsigs,
     )
 }
 
