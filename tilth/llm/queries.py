@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import lm, near_dup, packing, quality, repeats, secrets, spotsigs, wavelet
+from . import lm, mixing, near_dup, packing, quality, repeats, secrets, spotsigs, wavelet
 
 QUERIES = {
     f.__name__: f
     for f in (
         packing.op1_packing,
         secrets.op2_secrets,
+        mixing.op3_mixing,
         lm.op4_lm_score,
         quality.op5_quality,
         wavelet.op6_wavelet_files,
