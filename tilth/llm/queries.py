@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lm, mixing, near_dup, packing, quality, repeats, secrets, spotsigs, wavelet
+from . import chat, lm, mixing, near_dup, packing, quality, repeats, secrets, spotsigs, wavelet
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         lm.op4_lm_score,
         quality.op5_quality,
         wavelet.op6_wavelet_files,
+        chat.op7_chat,
         near_dup.op8_near_dup,
         repeats.op9_repeats,
         spotsigs.op10_spotsigs,
