@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Most values of a dimension that keep a target of their own; the rest are raked together as one.
 MOST_VALUES = {"source": 1000, "lang": 50, "topic": 20}
 #: Without given targets, a value's share is its token share to this power, made to sum to 1.
-TEMPER = {"source": 0.5, "lang": 0.8, "topic": 0.9}
+TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.95}
 REST = "\x00rest"
 
 
