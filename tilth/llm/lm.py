@@ -17,6 +17,7 @@ bounded number of n-grams, so the chance of a clash for any one stays below 1e-5
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,23 @@ _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 _FACTOR, _LOCAL = _U(0x2545F4914F6CDD1D), _U((1 << 40) - 1)
 
 
+def _packed(values: np.ndarray, width: int) -> bytes:
+    """Numbers as ``width`` byte planes, compressed."""
+    import zstandard
+
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
 class _Block:
     """The n-grams of a block of texts, each order's distinct ones in one order that depends on nothing else."""
 
@@ -84,14 +102,15 @@ class _Block:
         return (keys >> _U(40)) % _U(self.shards)
 
     def requests(self, block: int) -> Iterator[tuple]:
-        """(shard, order, block, low, high, counts): hashes for each shard; order 0 goes to every shard."""
+        """(shard, order, block, keys, counts): hashes, as differences of the sorted ones, and counts for each shard;
+        order 0 goes to every shard."""
         for order, (keys, counts, by) in enumerate(zip(self.keys, self.counts, self.order, strict=True)):
-            keys, counts = keys[by], counts[by].astype("<u4")
+            keys, counts = keys[by], counts[by]
             cuts = np.searchsorted(self.shard_of(keys), np.arange(self.shards + 1))
-            low, high = (keys & _U(0xFFFFFFFF)).astype("<u4"), (keys >> _U(32)).astype(np.uint8)
+            local = keys & _LOCAL
             for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if b > a or order == 0:
-                    yield s, order, block, low[a:b].tobytes(), high[a:b].tobytes(), counts[a:b].tobytes()
+                    yield s, order, block, _packed(np.diff(local[a:b], prepend=_U(0)), 5), _packed(counts[a:b], 4)
 
     def answered(self, order: int, totals: np.ndarray) -> np.ndarray:
         by = self.order[order]
@@ -105,18 +124,16 @@ class _Block:
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up each shard's counts and answers every block that asked, in the order in which it asked."""
     for table in runs(batches, ["shard", "order"]):
-        low, at = flat(table.column("low"))
-        high, _ = flat(table.column("high"))
-        counts, _ = flat(table.column("counts"))
-        keys = low.copy().view("<u4").astype(_U) | high.astype(_U) << _U(32)
-        counts = counts.copy().view("<u4").astype(np.int64)
+        parts = [np.cumsum(_unpacked(k, 5), dtype=_U) for k in table.column("keys").to_pylist()]
+        cuts = np.cumsum([0, *map(len, parts)]).tolist()
+        keys = np.concatenate(parts)
+        counts = np.concatenate([_unpacked(c, 4) for c in table.column("counts").to_pylist()]).astype(np.int64)
         by = np.argsort(keys, kind="stable")
         new = np.ones(len(by), bool)
         new[1:] = keys[by][1:] != keys[by][:-1]
         sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(by) else counts
-        totals = np.empty(len(by), "<u4")
+        totals = np.empty(len(by), np.int64)
         totals[by] = sums[np.cumsum(new) - 1] if len(by) else 0
-        data, cuts = totals.tobytes(), at.tolist()
         n = table.num_rows
         first = table.column("order")[0].as_py() == 0
         stats = (int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())) if first else (0, 0, 0)
@@ -125,7 +142,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 table.column("block").combine_chunks(),
                 table.column("order").combine_chunks(),
                 table.column("shard").combine_chunks(),
-                pa.array([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                pa.array([_packed(totals[a:b], 5) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 *(pa.array([x] * n, pa.int64()) for x in stats),
             ],
             ["block", "order", "shard", "totals", "tokens", "types", "once"],
@@ -208,18 +225,20 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["block"]):
             rows = _Block(table, n).requests(table.column("block")[0].as_py())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            while part := [r for r, _ in zip(rows, range(256), strict=False)]:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            while part := list(islice(rows, 256)):
                 cols = [pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["shard", "order", "block", "low", "high", "counts"])
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "order", "block", "keys", "counts"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         block = _Block(left, n)
         right = right.sort_by([("order", "ascending"), ("shard", "ascending")])
         order = right.column("order").to_numpy()
-        totals, off = flat(right.column("totals"))
-        cuts = off[np.searchsorted(order, np.arange(4))]
-        counts = [block.answered(o, totals[cuts[o] : cuts[o + 1]].copy().view("<u4").astype(np.int64)) for o in range(3)]
+        cuts = np.searchsorted(order, np.arange(4)).tolist()
+        counts = []
+        for o in range(3):
+            parts = [_unpacked(t, 5) for t in right.column("totals").slice(cuts[o], cuts[o + 1] - cuts[o]).to_pylist()]
+            counts.append(block.answered(o, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)))
         tokens, types, once = (int(right.column(c).to_numpy().sum()) for c in ("tokens", "types", "once"))
         if block.start >= 0:  # the start is no token; as a context it counts the texts learned from, which is told by the ends
             counts[0][block.start] = 0
@@ -242,7 +261,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
             }
         )
 
-    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, "shard long, order long, block long, low binary, high binary, counts binary")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, "shard long, order long, block long, keys binary, counts binary")
     answers = (
         asked.repartition(n, "shard")
         .sortWithinPartitions("shard", "order")
