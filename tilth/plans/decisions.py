@@ -310,12 +310,12 @@ def a16_reliability(spark, sf_dir):
     return rows.groupBy("horizon_h", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int").alias("bin")).agg(F.count("*").alias("n"), r6(F.avg("p"), "mean_p"), r6(F.avg("e"), "observed"))
 
 
-@query(f"""{_VOL}, cm AS (SELECT device, ts, drift AS m FROM ew WHERE drift IS NOT NULL), q AS (SELECT device, quantile_cont(m, [0.25, 0.5, 0.75]) AS e FROM cm GROUP BY 1),
+@query(f"""{_VOL}, cm AS (SELECT device, ts, round(drift, 5) AS m FROM ew WHERE drift IS NOT NULL), q AS (SELECT device, quantile_cont(m, [0.25, 0.5, 0.75]) AS e FROM cm GROUP BY 1),
 bk AS (SELECT cm.device, cm.m, CAST(m >= e[1] AS INT) + CASE WHEN e[2] > e[1] THEN CAST(m >= e[2] AS INT) ELSE 0 END + CASE WHEN e[3] > e[2] THEN CAST(m >= e[3] AS INT) ELSE 0 END AS bucket FROM cm JOIN q ON q.device = cm.device)
 SELECT device, CAST(bucket AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n, round(quantile_cont(m, 0.5), 5) AS median FROM bk GROUP BY 1, 2""")
 def w28_drift_buckets(spark, sf_dir):
     """Drift classes by quantile edges: equal goes up, equal edges count once."""
-    c = volatility(spark, sf_dir).where("drift is not null").select("device", F.col("drift").alias("m"))
+    c = volatility(spark, sf_dir).where("drift is not null").select("device", F.round("drift", 5).alias("m"))
     e = c.groupBy("device").agg(F.array_distinct(F.percentile("m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("e"))
     b = c.join(e, "device").withColumn("bucket", F.size(F.filter("e", lambda x: F.col("m") >= x)))
     return b.groupBy("device", "bucket").agg(F.count("*").alias("n"), F.round(F.percentile("m", 0.5), 5).alias("median"))
