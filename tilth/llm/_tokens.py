@@ -1,7 +1,7 @@
 """Whole texts to token ids with a published tokenizer, one distinct word at a time.
 
 Both tokenizers cut a text at white space before merging, so a word's ids don't depend on its neighbours, and a worker
-keeps the ids of words it has met (a bounded table, emptied when full). A text with white space where that doesn't
+keeps the ids of words it has met lately (two tables of bounded size). A text with white space where that doesn't
 hold is encoded whole. Ids come as little-endian unsigned 32-bit bytes.
 """
 
@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import os
 
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+#: Words in each of a worker's two tables; one takes about 200 bytes.
+KEPT_WORDS = 400_000
 _ENDS = ".,;:!?|"
 #: White space (by any of the libraries' definitions) other than a blank and a line feed.
 _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -35,31 +35,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         # a byte-level tokenizer without a normalizer keeps white space: the blank belongs to the word after it
         self.keeps_space = len(self.tokenizer.encode("a\nb", add_special_tokens=False).ids) == 3
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = self._with_space if self.keeps_space else self._without_space
         pieces = [split(t) for t in texts]
-        need: set[str] = set()
-        for p in pieces:
-            if p is not None:
-                need.update(p)
-        if len(self.known) + len(need) > KEPT_WORDS:
-            self.known = {}
-        need.difference_update(self.known)
+        get = self.known.get
+        found = [None if p is None else list(map(get, p)) for p in pieces]
+        need = {w for p, f in zip(pieces, found, strict=True) if p is not None for w, ids in zip(p, f, strict=True) if ids is None}
         if need:
-            self._learn(need)
-        known = self.known
-        out = []
-        for text, p in zip(texts, pieces, strict=True):
+            self._recall(need)
+        known, out = self.known, []
+        for text, p, f in zip(texts, pieces, found, strict=True):
             if p is None:
                 out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
             else:
-                ids = b"".join([known[w] for w in p])
+                ids = b"".join([known[w] if ids is None else ids for w, ids in zip(p, f, strict=True)])
                 out.append(ids[4:] if self.keeps_space else ids)
         return out
 
+    def _recall(self, need: set[str]) -> None:
+        """Makes ``need`` known: from the words known before, or else by encoding. When the table is full it becomes
+        the one of words known before, so that words in use stay."""
+        if len(self.known) + len(need) > KEPT_WORDS:
+            self.before, self.known = self.known, {}
+        old = self.before
+        again = {w: old[w] for w in need if w in old}
+        self.known.update(again)
+        need.difference_update(again)
+        self._learn(need)
+
     def _with_space(self, text: str) -> list[str] | None:
         """Words: one that starts a line has its line feed before it, any other stands for itself after a blank."""
         if not text or text[0] in " \n" or text[-1] in " \n":
@@ -83,7 +90,10 @@ class WordEncoder:
             if bare and core != w and bare.isalpha() and max(bare) < "ɐ":
                 parts[w] = (core, w[len(core) :])
                 if core not in self.known:
-                    units[form(core)] = None
+                    if core in self.before:
+                        self.known[core] = self.before[core]
+                    else:
+                        units[form(core)] = None
                 units[parts[w][1]] = None
             else:
                 units[form(w)] = None
