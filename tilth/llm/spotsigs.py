@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._cluster import cut, dealt_in_order
+from ._cluster import cut, dealt_in_order, parts_for
 
 #: Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -20,6 +20,7 @@ ANCHORS = (
     "con del el las los no para por se una y"
 ).split()
 CHAIN = 2
+PART_BYTES = 16 << 20
 
 
 def _let(value: Column, body) -> Column:
@@ -107,15 +108,21 @@ def compared_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null texts count as empty. Repeated ids come back as often as they stand; as somebody's next, the least of their
     texts counts. A row with a null id has itself as next. Other columns are ignored; no rows give no rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = F.length("text").cast("long")
-    sized = rows.select("doc_id", "text", n.alias("n_chars"), spots(F.col("text")).alias("sigs"))
-    # one row for each row and its next: only as much of the next text is moved as the edit takes
-    longest = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(n / 3)).alias("m"))
-    links = next_ids(docs, id_col).join(longest, "doc_id").select(F.col("doc_id").alias("id"), F.col("next_id").alias("doc_id"), "m")
-    heads = sized.join(links, "doc_id").select("id", F.substring(F.col("text"), F.lit(1), F.col("m").cast("int")).alias("head"), F.col("sigs").alias("next_sigs"))
-    heads = heads.groupBy("id").agg(F.min(F.struct("head", "next_sigs")).alias("h")).select(F.col("id").alias("doc_id"), "h.*")
-    joined = sized.join(heads, "doc_id", "left")
+    n = parts_for(docs, F.octet_length(F.col(text_col)), PART_BYTES)
+    # texts are dealt out once, by id; every join below finds them where they are (one exchange, as the key has a new name)
+    every = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = every.where("key is not null").repartition(n, "key")
+    longest = rows.groupBy("key").agg(F.max(F.floor(F.length("text") / 3)).alias("m"))
+    links = next_ids(docs, id_col).join(longest, F.col("doc_id") == F.col("key")).select(F.col("doc_id").alias("id"), F.col("next_id").alias("key"), "m")
+    # a row for each row and its next: only as much of the next text is moved as the edit takes
+    heads = rows.join(links.repartition(n, "key"), "key").select(
+        F.col("id").alias("key"), F.substring(F.col("text"), F.lit(1), F.col("m").cast("int")).alias("head"), spots(F.col("text")).alias("next_sigs")
+    )
+    heads = heads.repartition(n, "key").groupBy("key").agg(F.min(F.struct("head", "next_sigs")).alias("h")).select("key", "h.*")
+    nameless = every.where("key is null").select("*", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_sigs"))
+    joined = rows.join(heads, "key", "left").unionByName(nameless).select(
+        F.col("key").alias("doc_id"), "text", F.length("text").cast("long").alias("n_chars"), spots(F.col("text")).alias("sigs"), "head", "next_sigs"
+    )
     third = F.floor(F.col("n_chars") / 3).cast("int")
     keep = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - third)
     head = F.substring(F.coalesce("head", "text"), F.lit(1), third)
