@@ -24,6 +24,8 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SAMPLE_DOCS = 4000
 #: Runs shorter than this are not judged; shorter strings say too little.
 LEAST_RUN = 20
+#: A run of fewer distinct characters is a rule or a filler.
+LEAST_DISTINCT = 8
 #: Log-likelihood ratio, in nats a character, from which a run is taken as random.
 THRESHOLD = 1.0
 
@@ -101,10 +103,13 @@ def _made_up(n: int = 400) -> list[bytes]:
 class Model:
     """log P(random) - log P(identifier) for each pair of characters."""
 
-    def __init__(self, random: np.ndarray, ordinary: np.ndarray, alpha: float = 0.5):
-        size = int(_RUN.sum())
-        p, q = ((m + alpha) / (m + alpha).sum(1, keepdims=True) * (128 / size) for m in (random, ordinary))
-        self.ratio = np.log(p) - np.log(q)
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, alpha: float = 0.5, backoff: float = 5.0):
+        def smoothed(m: np.ndarray) -> np.ndarray:
+            """Pairs interpolated with single characters, so that a character never met tells by its rarity."""
+            single = (m.sum(0) + alpha) / (m.sum() + alpha * len(m))
+            return (m + backoff * single) / (m.sum(1, keepdims=True) + backoff)
+
+        self.ratio = np.log(smoothed(random)) - np.log(smoothed(ordinary))
 
     def score(self, s: bytes) -> float:
         codes = np.frombuffer(s, np.uint8)
@@ -140,7 +145,8 @@ def _found(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, text_at: int,
     base = _base(buf, off, lambda row: part.column(text_at)[row].as_py() or "")
     spans = [(r, a, b, k) for r, a, b, k, _ in base]
     for r, a, b in _free_runs(buf, off, base, LEAST_RUN):
-        if model.score(buf[a:b].tobytes()) >= threshold:
+        run = buf[a:b].tobytes()
+        if len(set(run)) >= LEAST_DISTINCT and model.score(run) >= threshold:
             spans.append((r, a, b, 3))
     return sorted(spans, key=lambda s: (s[0], s[1], s[3]))
 
