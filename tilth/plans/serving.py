@@ -80,7 +80,7 @@ def u01_union(spark, sf_dir):
     return g.where("device <> 'click'").unionByName(g.where("device = 'click'")).groupBy("device").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {FOLDS}, pv AS (SELECT ts, any_value(i) AS i, any_value(n) AS n, any_value(fold) AS fold, max(value) FILTER (device = 'click') AS a, avg(value) FILTER (device <> 'click') AS b FROM f GROUP BY 1),
+@query(f"""WITH {FOLDS}, pv AS (SELECT ts, max(i) AS i, max(n) AS n, max(fold) AS fold, max(value) FILTER (device = 'click') AS a, avg(value) FILTER (device <> 'click') AS b FROM f GROUP BY 1),
 fo AS (SELECT unnest(range(5)) AS k), tr AS (SELECT fo.k, pv.* FROM pv CROSS JOIN fo WHERE i < n // 2 + CAST(round_even(k * (n - n // 2) / 5.0, 0) AS BIGINT) - 5 AND a IS NOT NULL AND b IS NOT NULL),
 mo AS (SELECT k, avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM tr GROUP BY 1),
 sp AS (SELECT mo.k, pv.*, (a - ma) / sa - (b - mb) / sb AS s FROM pv CROSS JOIN mo), lg AS (SELECT *, lag(s, 6) OVER (PARTITION BY k ORDER BY ts) AS s6, lag(a, 6) OVER (PARTITION BY k ORDER BY ts) AS a6 FROM sp),
