@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished steps now, not when the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def parts_for(df: DataFrame, size, per_part: int) -> int:
     """So many partitions that each gets about ``per_part`` of the column expression ``size`` summed over all rows."""
     total = df.select(F.sum(size).alias("s")).first()["s"] or 0

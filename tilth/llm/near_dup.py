@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from ._cluster import components, cut
+from ._cluster import components, cut, release
 from ._text import blobs, mix, packed, runs, shingles, slices, words
 
 VALUES, CHUNK, BITS = 32, 4, 16
@@ -154,6 +154,7 @@ def near_duplicates(
     hubs = filed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     stars = filed.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = cut(components(stars).withColumnRenamed("component", "cluster"))
+    release(docs.sparkSession)  # the keys' shuffles are done with
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
     members = clusters.join(sizes, "cluster").select(F.col("node").alias("doc_id"), "cluster", "tiles")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
