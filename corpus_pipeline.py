@@ -25,8 +25,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def to_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that tempered source, language and topic shares are met."""
-    return mixing.sampled(docs)
+    """Documents are drawn so that tempered source, language and topic shares are met, as many tokens as there are."""
+    return mixing.sampled(docs, rate=1.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

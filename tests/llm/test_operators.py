@@ -130,6 +130,23 @@ def test_mixing(spark, docs, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_mixing_does_not_hang_on_the_scarcest_cell(spark):
+    plain = [(i, "w " * 100, "en" if i % 4 else "de", "big" if i % 3 else "small", 0) for i in range(3000)]
+    for rows in (plain, [*plain, (3000, "w " * 100, "en", "rare", 0)], [*plain, (3000, "w " * 100, "en", None, 0)]):
+        for rate in (0.5, 1.0):
+            table = spark.createDataFrame(rows, SCHEMA)
+            out = mixing.mixed(table, rate=rate).toPandas()
+            assert abs((out.n_tokens * out.factor).sum() / out.n_tokens.sum() - rate) < 1e-6
+            assert abs((out.n_tokens * out.copies).sum() / out.n_tokens.sum() - rate) < 0.03
+            have, got = (out.n_tokens * x for x in (1, out.factor))
+            for d in ("source", "lang"):
+                want = (have.groupby(out[d]).sum() / have.sum()) ** mixing.TEMPER[d]
+                assert (abs(got.groupby(out[d]).sum() / got.sum() - want / want.sum()) < 1e-6).all()
+            drawn = collections.Counter(r["doc_id"] for r in mixing.sampled(table, rate=rate).collect())
+            assert drawn == {i: n for i, n in zip(out.doc_id, out.copies) if n}
+    assert drawn[3000] > 1
+
+
 def test_language_model(docs, none):
     from pyspark.sql import functions as F
 

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are summed by cell (source, language, topic). Raking scales the cells in turn until the weighted sums
-match the targets of each of the three; a cell's factor is then the product of three. Factors, scaled so that none
-exceeds 1, are the probabilities with which documents are kept, each decided by the hash of its id. No document is
-repeated, and the kept tokens match all targets in expectation.
+match the targets of each of the three; a cell's factor is then the product of three. Factors are scaled to a fixed
+overall rate, so that no cell, however scarce, sets the rate of the others. A document of factor f is drawn floor(f)
+times, and once more with probability f - floor(f), decided by the hash of its id: scarce documents are repeated, and
+the drawn tokens match all targets in expectation.
 """
 
 from __future__ import annotations
@@ -56,13 +57,18 @@ def mixed(
     source_col: str = "source",
     lang_col: str = "lang",
     seed: int = 0,
+    rate: float = 0.5,
 ) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, probability, kept, _row) for each input row, ``_row`` being the row.
+    """(doc_id, source, lang, topic, n_tokens, factor, copies, probability, kept, _row) for each input row, ``_row``
+    being the row.
 
+    ``factor`` is how often the row is drawn in expectation, ``copies`` how often it is, ``probability`` that with which
+    it is drawn at all, and ``kept`` whether it is. ``rate`` is the drawn tokens' share of all tokens, in expectation: at
+    0.5 a value can get twice its share before its documents are repeated, at 1 as much is drawn as the table has.
     ``targets`` maps source, lang and topic to shares by value; one that is missing is tempered from the table. Tokens
     are words. A null source or language is a value of its own, written as an empty string; a text without words has no
-    weight and its cell's probability (1 where a cell has no tokens). Rows with one id, and repeated rows, are kept or
-    dropped alike where their cells agree; rows with a null id are decided by their text. No rows give no rows.
+    weight and its cell's factor (1 where a cell has no tokens). Rows with one id, and repeated rows, are drawn equally
+    often where their cells agree; rows with a null id are decided by their text. No rows give no rows.
     """
     given = targets or {}
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -102,19 +108,22 @@ def mixed(
         else:
             goals.append(np.where(share > 0, share ** TEMPER[d], 0.0))
     factor = rake(weight, index, goals)
-    factor = np.where(weight > 0, factor / max(factor[weight > 0].max(initial=0), 1e-300), 1.0)
+    factor = np.where(weight > 0, factor * (rate * weight.sum() / max((factor * weight).sum(), 1e-300)), 1.0)
     table = [(*(int(c[i]) for c in index), float(factor[i])) for i in range(len(cells))]
-    chance = F.broadcast(spark.createDataFrame(table, ", ".join(f"_{d} int" for d in dims) + ", probability double"))
+    chance = F.broadcast(spark.createDataFrame(table, ", ".join(f"_{d} int" for d in dims) + ", factor double"))
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("_text"))), 11) / F.lit(float(1 << 53))
     out = named.select("doc_id", *dims, "n_tokens", *codes, drawn.alias("_u"), "_row").join(chance, [f"_{d}" for d in dims], "left")
-    return out.select("doc_id", *dims, "n_tokens", "probability", (F.col("_u") < F.col("probability")).alias("kept"), "_row")
+    copies = F.floor("factor") + (F.col("_u") < F.col("factor") - F.floor("factor")).cast("long")
+    out = out.withColumn("copies", copies)
+    return out.select("doc_id", *dims, "n_tokens", "factor", "copies", F.least("factor", F.lit(1.0)).alias("probability"), (F.col("copies") > 0).alias("kept"), "_row")
 
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, with their columns, that mixed() keeps."""
-    return mixed(docs, **how).where("kept").select("_row.*")
+    """The rows of ``docs``, with their columns, each as often as mixed() draws it."""
+    drawn = mixed(docs, **how).where("kept").select("_row", "copies")
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query: with which probability each document is kept so that tempered targets are met, and whether it is."""
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("_row")
+    """Query: how often each document is drawn so that tempered targets are met with as many tokens as the table has."""
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), rate=1.0).drop("_row")
