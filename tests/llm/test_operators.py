@@ -298,6 +298,33 @@ def test_spotsigs(docs, none):
     assert spotsigs.compared_with_edits(none).count() == 0
 
 
+def test_spots_span_texts_with_few_common_words(spark):
+    from pyspark.sql import functions as F
+
+    def chains(text):
+        w = text.split()
+        at = [i for i, x in enumerate(w) if x in spotsigs.ANCHORS]
+        content = [i for i, x in enumerate(w) if x not in spotsigs.ANCHORS]
+        found = [[w[i], *[w[k] for k in content if k > i][:2]] for i in at]
+        return found + [w[i : i + 3] for i in range(max(len(w) - 2, 1)) if all(abs(i - k) > spotsigs.GAP for k in at)]
+
+    row = words(40, 125, 1 << 40)
+    table = " ".join([*row[:60], "the", *row[60:]])
+    mixed = " ".join([*row[:20], "in", "the", *row[20:25], "of", *row[25:42], "und", *row[42:60], "is", *row[60:64]])
+    texts = [table, mixed, " ".join(row), " ".join(row[:2]), "the", " ".join(["the", *row[:9]]), " ".join(["the", *row[:10], "of"])]
+    want = [(i, c + [None] * (3 - len(c))) for i, t in enumerate(texts) for c in chains(t)]
+    hashed = spark.createDataFrame(want, "i long, c array<string>").select("i", F.xxhash64(*[F.get("c", F.lit(k)) for k in range(3)]).alias("h"))
+    sets = collections.defaultdict(set)
+    for r in hashed.collect():
+        sets[r["i"]].add(r["h"])
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(2)
+    assert {r["i"]: r["s"] for r in rows.select("i", spotsigs.spots(F.col("t")).alias("s")).collect()} == {i: sorted(s) for i, s in sets.items()}
+    prose = " ".join(f"the {x} {y}" for x, y in zip(words(41, 200, 1 << 40), words(42, 200, 1 << 40)))
+    got = {r["doc_id"]: r for r in spotsigs.compared_with_edits(spark.createDataFrame([(2, table), (1, prose)], "doc_id long, text string")).collect()}
+    a, b = set(got[2]["sigs"]), set(got[2]["edited_sigs"])
+    assert len(a) > 100 and len(a & b) / len(a | b) > 0.4
+
+
 def test_spot_search(docs):
     from pyspark.sql import functions as F
 

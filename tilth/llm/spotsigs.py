@@ -1,6 +1,7 @@
 """SpotSigs fingerprints: a text is the set of its spot signatures, each a common word and the content words after it.
 
-Common words stand evenly in prose and rarely in tables or menus, so the set follows the running text. Sets are compared
+Common words stand evenly in prose and rarely in tables or menus, so the set follows the running text. Where none stands
+near, in tables, lists or other languages, every word begins a chain, so that the set spans the whole text. Sets are compared
 by Jaccard likeness, pruned by length: sets whose sizes differ by more than the threshold allows can't be that alike.
 Everything is DataFrame expressions.
 """
@@ -20,6 +21,8 @@ ANCHORS = (
     "con del el las los no para por se una y"
 ).split()
 CHAIN = 2
+#: A word without a common word among so many before and after it begins a chain itself.
+GAP = 8
 PART_BYTES = 16 << 20
 
 
@@ -30,8 +33,9 @@ def _let(value: Column, body) -> Column:
 def spots(text: Column) -> Column:
     """The sorted distinct spot signatures of a text, as 64-bit hashes.
 
-    Each common word gives one signature with the next two content words. In a text without any, every word begins a
-    chain of three. A text without a letter or digit, or null, has no signature."""
+    Each common word gives one signature with the next two content words. Every word with no common word within GAP words
+    begins a chain of three; in a text without common words, that is every word. A text without a letter or digit, or
+    null, has no signature."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
     def places(w: Column) -> Column:
@@ -47,8 +51,16 @@ def spots(text: Column) -> Column:
         # before the jth common word, at place p, stand p - j content words
         spotted = F.transform(at, lambda p, j: F.xxhash64(F.get(w, p), *[F.get(rest, p - j + k) for k in range(CHAIN)]))
         last = F.greatest(F.size(w) - CHAIN - 1, F.lit(0))
-        plain = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(CHAIN + 1)]))
-        return F.when(F.size(at) > 0, spotted).when(F.size(w) > 0, plain).otherwise(F.array().cast("array<bigint>"))
+
+        def between(j: Column) -> Column:
+            # places further than GAP from the common words before and after them; j counts those before
+            low = F.coalesce(F.get(at, j - 1) + (GAP + 1), F.lit(0))
+            high = F.least(F.get(at, j) - (GAP + 1), last)
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        bare = F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), between))
+        plain = F.transform(bare, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(CHAIN + 1)]))
+        return F.when(F.size(w) > 0, F.concat(spotted, plain)).otherwise(F.array().cast("array<bigint>"))
 
     return F.array_sort(F.array_distinct(_let(_let(words, places), chains)))
 
