@@ -226,6 +226,22 @@ def test_chat(spark):
     assert chat.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_links_every_passage(spark):
+    m = [
+        (1, 0, "u", "How do I fix the valve today?"), (1, 1, "a", "Close the main valve first please."), (1, 2, "u", "Nobody has told me how."),
+        (1, 3, "u", "> How do I fix the valve today?\nAs before.\n> Close the main valve first please.\n>> Nobody has told me how.\nDone."),
+        (1, 4, "u", ">> How do I fix the valve today?\n> Never said by any message.\nNo.\n> Close the main valve first please.\nYes."),
+        (1, 5, "u", "> Never said by any message.\n>> How do I fix the valve today?\nSo."), (1, 6, "u", "> yes?\n\nplain"),
+    ]
+    rows = chat.linked(spark.createDataFrame([*m, m[3]], "conv_id long, turn long, role string, text string")).collect()
+    by = {r["turn"]: r for r in rows}
+    assert len(rows) == len(m) + 1
+    assert [tuple(x) for x in by[3]["links"]] == [(0, 1, 1, 0), (1, 1, 1, 1), (2, 2, 1, 2)] and by[3]["parent_turn"] == 0
+    assert [tuple(x) for x in by[4]["links"]] == [(0, 2, 1, 0), (1, 1, None, None), (2, 1, 1, 1)] and by[4]["parent_turn"] == 1
+    assert by[5]["parent_turn"] == 0 and by[6]["parent_turn"] is None and by[0]["links"] == []
+    assert all(len(r["links"]) == r["n_quotes"] for r in rows)
+
+
 def test_near_duplicates(docs, none):
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
     assert (got[1], got[2], got[3], got[4]) == (1, 1, 1, 4)

@@ -2,8 +2,9 @@
 
 A message's lines are parsed into nested quote levels. Each run of quoted lines of one level is a passage; its
 normalised text is hashed, whole and line by line, and joined to the hashes of what messages say themselves. A reply's
-parent is the message that its outermost passage quotes: the latest earlier one of the conversation that says it, else
-the first that says it anywhere. Messages come back without their quotes, in an order in which replies follow what
+parent is the message that the first of its outermost passages to match quotes: the latest earlier one of the
+conversation that says it, else the first that says it anywhere; the other passages, of all levels, keep links of their
+own. Messages come back without their quotes, in an order in which replies follow what
 they reply to.
 """
 
@@ -98,41 +99,53 @@ def _parsed(messages: DataFrame) -> DataFrame:
     )
 
 
-def linked(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text, n_quotes, parent_conv, parent_turn, reply_path) for each message.
-
-    ``messages`` has conv_id, turn, role, text (others are ignored). ``text`` is the message without quoted lines,
-    stripped; n_quotes its passages; parent_* the message quoted by the first passage of least level, or null.
-    ``reply_path`` orders a conversation: sort by (conv_id, reply_path, turn), and a message that quotes one before the
-    last comes, with what follows it, after the rest of the branch it answers. A null text is empty, a null conv_id or
-    turn links to nothing; repeated rows stay, and count as one original. No rows give no rows.
-    """
-    rows = cut(_parsed(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))))
-    asked = rows.where("size(passages) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p"))
-    first = asked.groupBy("conv_id", "turn").agg(F.min(F.struct("p.level", "p.n", "p.keys")).alias("p"))
-    keys = first.select("conv_id", "turn", F.posexplode("p.keys").alias("k", "h"))
+def passage_links(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, n, level, parent_conv, parent_turn) for each passage of each message of _parsed(): the latest
+    earlier message of the conversation that says it, else the first that says it anywhere, else null. A passage is
+    looked for whole before its lines are. Messages with one conv_id and turn are taken as one and share their links."""
+    asked = rows.where("size(passages) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*").distinct()
+    keys = asked.select("conv_id", "turn", "n", "level", F.posexplode("keys").alias("k", "h"))
     said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("says").alias("s")).select("conv_id", "turn", "s.h")
     wanted = keys.select("h").distinct()
     said = said.join(wanted, "h", "left_semi")
     # what is quoted and what is said meet per (conversation, hash), in turn order: the latest said before is carried on
-    both = said.select("conv_id", "h", "turn", F.col("turn").alias("said"), F.lit(None).cast("int").alias("k")).distinct().unionByName(
-        keys.select("conv_id", "h", "turn", F.lit(None).cast("long").alias("said"), "k")
+    both = said.select("conv_id", "h", "turn", F.col("turn").alias("said"), *[F.lit(None).cast("int").alias(c) for c in ("n", "level", "k")]).distinct().unionByName(
+        keys.select("conv_id", "h", "turn", F.lit(None).cast("long").alias("said"), "n", "level", "k")
     )
     earlier = F.last("said", ignorenulls=True).over(Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    near = both.withColumn("near", earlier).where("k is not null").select("conv_id", "turn", "h", "k", "near")
+    near = both.withColumn("near", earlier).where("k is not null").select("conv_id", "turn", "n", "level", "h", "k", "near")
     anywhere = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
     found = near.join(anywhere, "h", "left").withColumn(
         "far", F.when(~(F.col("far.conv_id").eqNullSafe(F.col("conv_id"))), F.col("far"))
     )
-    best = found.select(
-        "conv_id",
-        "turn",
-        F.when(F.col("near").isNotNull(), F.struct(F.lit(0).alias("o"), "k", F.col("conv_id").alias("c"), F.col("near").alias("t")))
-        .when(F.col("far").isNotNull(), F.struct(F.lit(1).alias("o"), "k", F.col("far.conv_id").alias("c"), F.col("far.turn").alias("t")))
-        .alias("b"),
-    ).where("b is not null").groupBy("conv_id", "turn").agg(F.min("b").alias("b")).select("conv_id", "turn", F.col("b.c").alias("parent_conv"), F.col("b.t").alias("parent_turn"))
-
-    dealt = dealt_in_order(rows.drop("says").join(best, ["conv_id", "turn"], "left").withColumn("n_quotes", F.size("passages").cast("long")).drop("passages"), "conv_id", "turn")
+    hit = F.when(F.col("near").isNotNull(), F.struct(F.lit(0).alias("o"), "k", F.col("conv_id").alias("c"), F.col("near").alias("t"))).when(
+        F.col("far").isNotNull(), F.struct(F.lit(1).alias("o"), "k", F.col("far.conv_id").alias("c"), F.col("far.turn").alias("t"))
+    )
+    best = found.withColumn("b", hit).groupBy("conv_id", "turn", "n", "level").agg(F.min("b").alias("b"))
+    return best.select("conv_id", "turn", "n", "level", F.col("b.c").alias("parent_conv"), F.col("b.t").alias("parent_turn"))
+
+
+def linked(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text, n_quotes, parent_conv, parent_turn, links, reply_path) for each message.
+
+    ``messages`` has conv_id, turn, role, text (others are ignored). ``text`` is the message without quoted lines,
+    stripped; n_quotes its passages; ``links`` has (n, level, parent_conv, parent_turn) of each passage, parents null where
+    nothing says it; parent_* is the message quoted by the first passage of least level that has one, or null.
+    ``reply_path`` orders a conversation: sort by (conv_id, reply_path, turn), and a message that quotes one before the
+    last comes, with what follows it, after the rest of the branch it answers. A null text is empty, a null conv_id or
+    turn links to nothing; repeated rows stay, and count as one original. No rows give no rows.
+    """
+    rows = cut(_parsed(messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))))
+    links = passage_links(rows)
+    per = links.groupBy("conv_id", "turn").agg(
+        F.array_sort(F.collect_list(F.struct("n", "level", "parent_conv", "parent_turn"))).alias("links"),
+        # of the passages that match, the first of least level
+        F.min(F.when(F.col("parent_turn").isNotNull(), F.struct("level", "n", "parent_conv", "parent_turn"))).alias("b"),
+    )
+    best = per.select("conv_id", "turn", "links", F.col("b.parent_conv").alias("parent_conv"), F.col("b.parent_turn").alias("parent_turn"))
+
+    unlinked = F.array().cast("array<struct<n:int,level:int,parent_conv:bigint,parent_turn:bigint>>")
+    dealt = dealt_in_order(rows.drop("says").join(best, ["conv_id", "turn"], "left").withColumn("links", F.coalesce("links", unlinked)).withColumn("n_quotes", F.size("passages").cast("long")).drop("passages"), "conv_id", "turn")
     # a branch begins where a message answers another one than the last of its conversation
     own = (F.col("parent_conv") == F.col("conv_id")) & F.col("parent_turn").isNotNull()
     in_part = Window.partitionBy("pid", "conv_id").orderBy("turn")
@@ -156,11 +169,11 @@ def linked(messages: DataFrame) -> DataFrame:
         paths = cut(paths.join(above, ["conv_id", "up"], "left").select("conv_id", "branch", F.col("next").alias("up"), F.when(F.col("head").isNotNull(), F.concat("head", "path")).otherwise(F.col("path")).alias("path")))
     none = F.array().cast("array<struct<after:bigint,start:bigint>>")
     return branched.join(paths.select("conv_id", "branch", "path"), ["conv_id", "branch"], "left").select(
-        "conv_id", "turn", "role", "text", "n_quotes", "parent_conv", "parent_turn", F.coalesce("path", none).alias("reply_path")
+        "conv_id", "turn", "role", "text", "n_quotes", "parent_conv", "parent_turn", "links", F.coalesce("path", none).alias("reply_path")
     )
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: all conversations without quotes, each message with its parent and its place in reply order."""
     rows = linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return rows.withColumn("reply_path", F.to_json("reply_path"))
+    return rows.withColumn("links", F.to_json("links", {"ignoreNullFields": "false"})).withColumn("reply_path", F.to_json("reply_path"))
