@@ -242,6 +242,17 @@ def test_chat_links_every_passage(spark):
     assert all(len(r["links"]) == r["n_quotes"] for r in rows)
 
 
+def test_chat_links_to_another_conversation_where_the_own_says_it_later(spark):
+    said = "The pump ran dry last night."
+    m = [
+        (1, 0, "u", f"> {said}\nReally?"), (1, 1, "a", said), (2, 0, "u", f"> {said}\n\n{said}"), (3, 5, "a", said), (3, 7, "a", said),
+        (4, 0, "u", f"> {said}\nSo."), (5, 0, "u", "> Only ever said right here.\n\nOnly ever said right here."),
+    ]
+    rows = chat.linked(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).collect()
+    by = {(r["conv_id"], r["turn"]): (r["parent_conv"], r["parent_turn"]) for r in rows}
+    assert (by[1, 0], by[2, 0], by[4, 0], by[5, 0]) == ((2, 0), (1, 1), (1, 1), (None, None))
+
+
 def test_near_duplicates(docs, none):
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs).collect()}
     assert (got[1], got[2], got[3], got[4]) == (1, 1, 1, 4)

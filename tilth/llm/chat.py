@@ -3,7 +3,7 @@
 A message's lines are parsed into nested quote levels. Each run of quoted lines of one level is a passage; its
 normalised text is hashed, whole and line by line, and joined to the hashes of what messages say themselves. A reply's
 parent is the message that the first of its outermost passages to match quotes: the latest earlier one of the
-conversation that says it, else the first that says it anywhere; the other passages, of all levels, keep links of their
+conversation that says it, else the first that says it in another conversation; the other passages, of all levels, keep links of their
 own. Messages come back without their quotes, in an order in which replies follow what
 they reply to.
 """
@@ -101,7 +101,7 @@ def _parsed(messages: DataFrame) -> DataFrame:
 
 def passage_links(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, n, level, parent_conv, parent_turn) for each passage of each message of _parsed(): the latest
-    earlier message of the conversation that says it, else the first that says it anywhere, else null. A passage is
+    earlier message of the conversation that says it, else the first that says it in another conversation, else null. A passage is
     looked for whole before its lines are. Messages with one conv_id and turn are taken as one and share their links."""
     asked = rows.where("size(passages) > 0 and conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*").distinct()
     keys = asked.select("conv_id", "turn", "n", "level", F.posexplode("keys").alias("k", "h"))
@@ -114,9 +114,12 @@ def passage_links(rows: DataFrame) -> DataFrame:
     )
     earlier = F.last("said", ignorenulls=True).over(Window.partitionBy("conv_id", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
     near = both.withColumn("near", earlier).where("k is not null").select("conv_id", "turn", "n", "level", "h", "k", "near")
-    anywhere = said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    # the first two conversations that say it: one of them is another than the quoting one's
+    firsts = said.groupBy("h", "conv_id").agg(F.min("turn").alias("turn")).withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("conv_id"))).where("r <= 2")
+    place = F.struct("conv_id", "turn")
+    anywhere = firsts.groupBy("h").agg(F.min(place).alias("far"), F.max(place).alias("next"))
     found = near.join(anywhere, "h", "left").withColumn(
-        "far", F.when(~(F.col("far.conv_id").eqNullSafe(F.col("conv_id"))), F.col("far"))
+        "far", F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far")).when(F.col("next.conv_id") != F.col("conv_id"), F.col("next"))
     )
     hit = F.when(F.col("near").isNotNull(), F.struct(F.lit(0).alias("o"), "k", F.col("conv_id").alias("c"), F.col("near").alias("t"))).when(
         F.col("far").isNotNull(), F.struct(F.lit(1).alias("o"), "k", F.col("far.conv_id").alias("c"), F.col("far.turn").alias("t"))
