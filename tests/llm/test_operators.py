@@ -147,6 +147,20 @@ def test_mixing_does_not_hang_on_the_scarcest_cell(spark):
     assert drawn[3000] > 1
 
 
+@pytest.mark.parametrize(("cells", "sources"), [(500_000, 1500), (10, 5)])
+def test_mixing_has_a_target_for_every_value(spark, monkeypatch, cells, sources):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", cells, raising=False)
+    rng = np.random.default_rng(50)
+    rows = [(i, "w " * int(rng.integers(1, 8)), "en" if rng.random() < 0.7 else "de", f"s{i % sources if i % 3 else 0}", 0) for i in range(9000)]
+    out = mixing.mixed(spark.createDataFrame(rows, SCHEMA), topic=(F.xxhash64("doc_id") % 15).cast("string")).toPandas()
+    got = out.n_tokens * out.probability if "factor" not in out else out.n_tokens * out.factor
+    for d, power in mixing.TEMPER.items():
+        want = (out.n_tokens.groupby(out[d]).sum() / out.n_tokens.sum()) ** power
+        assert np.allclose(got.groupby(out[d]).sum() / got.sum(), want / want.sum(), rtol=1e-4)
+
+
 def test_language_model(docs, none):
     from pyspark.sql import functions as F
 

@@ -13,11 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most values of a dimension that keep a target of their own; the rest are raked together as one.
-MOST_VALUES = {"source": 1000, "lang": 50, "topic": 20}
+from ._cluster import cut
+
+#: Up to so many cells are raked on the driver and their factors broadcast; more stay tables. The factors are alike.
+LOCAL_CELLS = 500_000
 #: Without given targets, a value's share is its token share to this power, made to sum to 1.
 TEMPER = {"source": 0.7, "lang": 0.9, "topic": 0.95}
-REST = "\x00rest"
 
 
 def form_topic(text: Column, n_tokens: Column) -> Column:
@@ -48,6 +49,32 @@ def rake(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]
     return factor
 
 
+def rake_tables(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 500, tol: float = 1e-7) -> DataFrame:
+    """rake() by grouped sums and joins, for any number of cells: ``cells`` with a column ``factor``. ``goals`` has
+    (value, goal) of each dimension, for just the values with weight."""
+    dims = list(goals)
+    parts = {d: cut(goals[d].select(d, "goal", F.lit(1.0).alias(f"_{d}"), F.lit(1.0).alias("ratio"))) for d in dims}
+
+    def times(skipped: str | None = None) -> DataFrame:
+        out, product = cells, F.lit(1.0)
+        for d in dims:
+            if d != skipped:
+                out, product = out.join(parts[d].select(d, f"_{d}"), d, "left"), product * F.col(f"_{d}")
+        return out.withColumn("factor", product).select(*cells.columns, "factor")
+
+    for _ in range(rounds):
+        off = 0.0
+        for d in dims:
+            now = times(d).groupBy(d).agg(F.sum(F.col("factor") * F.col("t")).alias("now"))
+            new = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+            step = parts[d].join(now, d, "left").select(d, "goal", new.alias("new"), F.col(f"_{d}").alias("old"))
+            parts[d] = cut(step.select(d, "goal", F.col("new").alias(f"_{d}"), F.when((F.col("goal") > 0) & (F.col("old") > 0), F.col("new") / F.col("old")).otherwise(1.0).alias("ratio")))
+            off = max(off, parts[d].agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
+        if off < tol:
+            break
+    return times()
+
+
 def mixed(
     docs: DataFrame,
     targets: dict[str, dict[str, float]] | None = None,
@@ -66,7 +93,7 @@ def mixed(
     it is drawn at all, and ``kept`` whether it is. ``rate`` is the drawn tokens' share of all tokens, in expectation: at
     0.5 a value can get twice its share before its documents are repeated, at 1 as much is drawn as the table has.
     ``targets`` maps source, lang and topic to shares by value; one that is missing is tempered from the table. Tokens
-    are words. A null source or language is a value of its own, written as an empty string; a text without words has no
+    are words. A null source, language or topic is a value of its own, written as an empty string; a text without words has no
     weight and its cell's factor (1 where a cell has no tokens). Rows with one id, and repeated rows, are drawn equally
     often where their cells agree; rows with a null id are decided by their text. No rows give no rows.
     """
@@ -81,38 +108,41 @@ def mixed(
         text.alias("_text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
     )
-    rows = rows.withColumn("topic", form_topic(F.col("_text"), F.col("n_tokens")) if topic is None else topic)
+    rows = rows.withColumn("topic", form_topic(F.col("_text"), F.col("n_tokens")) if topic is None else F.coalesce(topic.cast("string"), F.lit("")))
     dims = ["source", "lang", "topic"]
-    sums = rows.groupBy(*dims).agg(F.sum("n_tokens").alias("t"))
-    sums = sums.persist()
-    lists = {}
-    for d in dims:
-        top = sums.groupBy(d).agg(F.sum("t").alias("t")).orderBy(F.desc("t"), d).limit(MOST_VALUES[d]).collect()
-        lists[d] = list(dict.fromkeys([*given.get(d, {}), *(r[d] for r in top)]))[: max(MOST_VALUES[d], len(given.get(d, {})))]
+    sums = cut(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("t")))
     spark = docs.sparkSession
-    pooled, named = sums, rows
-    for d in dims:
-        known = F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(lists[d])], f"{d} string, _{d} int"))
-        pooled = pooled.join(known, d, "left")
-        named = named.join(known, d, "left")
-    codes = [F.coalesce(F.col(f"_{d}"), F.lit(len(lists[d]))).alias(f"_{d}") for d in dims]
-    cells = pooled.select(*codes, "t").groupBy(*[f"_{d}" for d in dims]).agg(F.sum("t").alias("t")).orderBy(*[f"_{d}" for d in dims]).collect()
-    sums.unpersist()
-    weight = np.array([r["t"] for r in cells], float)
-    index = [np.array([r[f"_{d}"] for r in cells], int) for d in dims]
-    goals = []
-    for d, c in zip(dims, index, strict=True):
-        share = np.bincount(c, weight, len(lists[d]) + 1) / max(weight.sum(), 1)
-        if d in given:
-            goals.append(np.array([given[d].get(v, 0.0) for v in lists[d]] + [0.0]))
-        else:
-            goals.append(np.where(share > 0, share ** TEMPER[d], 0.0))
-    factor = rake(weight, index, goals)
-    factor = np.where(weight > 0, factor * (rate * weight.sum() / max((factor * weight).sum(), 1e-300)), 1.0)
-    table = [(*(int(c[i]) for c in index), float(factor[i])) for i in range(len(cells))]
-    chance = F.broadcast(spark.createDataFrame(table, ", ".join(f"_{d} int" for d in dims) + ", factor double"))
+    n, total = sums.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0))).first()
+    if n <= LOCAL_CELLS:
+        cells = sums.orderBy(*dims).toPandas()
+        weight = cells["t"].to_numpy(float)
+        index, goals = [], []
+        for d in dims:
+            code, values = cells[d].factorize()
+            share = np.bincount(code, weight, len(values)) / max(total, 1)
+            index.append(code)
+            goals.append(np.array([given[d].get(v, 0.0) for v in values], float) if d in given else np.where(share > 0, share ** TEMPER[d], 0.0))
+        cells["factor"] = rake(weight, index, goals)
+        table = list(cells[[*dims, "t", "factor"]].itertuples(index=False, name=None))
+        raked = spark.createDataFrame([(*map(str, x[:3]), int(x[3]), float(x[4])) for x in table], "source string, lang string, topic string, t long, factor double")
+    else:
+        tables = {}
+        for d in dims:
+            share = sums.where("t > 0").groupBy(d).agg((F.sum("t") / F.lit(float(max(total, 1)))).alias("share"))
+            if d in given:
+                named = spark.createDataFrame([(v, float(x)) for v, x in given[d].items()], f"{d} string, given double")
+                share = share.join(named, d, "left").select(d, "share", F.coalesce("given", F.lit(0.0)).alias("goal"))
+            else:
+                share = share.withColumn("goal", F.pow("share", F.lit(TEMPER[d])))
+            whole = share.agg(F.sum("goal")).first()[0]
+            tables[d] = share.select(d, (F.col("goal") / F.lit(whole) if whole else F.col("share")).alias("goal"))
+        raked = cut(rake_tables(sums, tables))
+    mass = raked.agg(F.sum(F.col("factor") * F.col("t"))).first()[0] or 1.0
+    chance = raked.select(*dims, F.when(F.col("t") > 0, F.col("factor") * F.lit(rate * float(total) / mass)).otherwise(1.0).alias("factor"))
+    if n <= LOCAL_CELLS:
+        chance = F.broadcast(chance)
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.xxhash64("_text"))), 11) / F.lit(float(1 << 53))
-    out = named.select("doc_id", *dims, "n_tokens", *codes, drawn.alias("_u"), "_row").join(chance, [f"_{d}" for d in dims], "left")
+    out = rows.select("doc_id", *dims, "n_tokens", drawn.alias("_u"), "_row").join(chance, dims, "left")
     copies = F.floor("factor") + (F.col("_u") < F.col("factor") - F.floor("factor")).cast("long")
     out = out.withColumn("copies", copies)
     return out.select("doc_id", *dims, "n_tokens", "factor", "copies", F.least("factor", F.lit(1.0)).alias("probability"), (F.col("copies") > 0).alias("kept"), "_row")
