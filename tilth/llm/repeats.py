@@ -1,16 +1,17 @@
 """Repeated passages by common-prefix intervals of an enhanced suffix array.
 
-A passage is a byte string of a given length; it goes wherever it stands twice or more in the corpus. Each passage-long
-window has one anchor: the 32-byte gram in it of least hash, the leftmost if several. Equal windows have equal anchors
-at equal places, so repeats are only sought among suffixes that begin at equal anchors, each with as much text to the
-left and right as a window round the anchor can reach.
+A passage is a byte string of a given length; it goes wherever it stands twice or more in the corpus. Each window (a
+little shorter than a passage) has one anchor: the 64-byte gram in it of least hash, the leftmost if several. Equal
+windows have equal anchors at equal places, so repeats are only sought among suffixes that begin at equal anchors, each
+with as much text to the left and right as a passage round the anchor can reach.
 
 Suffixes with one context (anchor and all of that text) are one class, and a class of two or more is a repeat as it
-stands. What differs is sorted into a suffix array per anchor; a stack scan of its common prefixes yields the intervals
-of the prefix tree, and in each interval the texts to the left, compared in their own sorted order, tell which members
-can be extended far enough: groups whose left extensions all agree reach further left, diverse ones are maximal. So
-every occurrence of a repeat group is found, not just sorted neighbours. An anchor with more distinct contexts than one
-task should hold is settled by counting the hashes of its windows instead, which needs no group in one place.
+stands. What differs is sorted into a suffix array per anchor. A stack scan of its common prefixes yields the intervals
+of the prefix tree; within each, the same scan over the texts to the left, in their own sorted order, yields the groups
+whose left extensions differ just there, and of these the groups that spread over more than one branch to the right are
+the maximal repeats, each with all its occurrences, not just sorted neighbours. Spans are the union of the occurrences.
+An anchor with more distinct contexts than one task should hold gets the same spans from the hashes of its windows, which
+need no group in one place.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ._cluster import parts_for
-from ._text import _BASE_INV, _TABLE, flat, mix, powers, runs, slices
+from ._text import _BASE_INV, _TABLE, WHITE, flat, mix, powers, runs, slices
 
-GRAM, LENGTH = 32, 400
+GRAM, LENGTH = 64, 400
+#: A passage shared between documents: more than so many words, in so many bytes at least.
+WORDS, SHARED = 50, 300
 BLOCK_BYTES = 8 << 20
 #: Distinct contexts of an anchor up to which one task sorts them.
 MOST_CONTEXTS = 20_000
@@ -44,15 +48,15 @@ class _Hashes:
         return mix((self.acc[end] - self.acc[start]) * self.inverse[start] ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93)))
 
 
-def anchors(buf: np.ndarray, off: np.ndarray, hashes: _Hashes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+def anchors(buf: np.ndarray, off: np.ndarray, hashes: _Hashes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Places of the anchors of all windows of ``length`` bytes within rows, and their rows."""
-    n, reach = len(buf), length - GRAM + 1
+    n, reach = len(buf), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none
-    grams = np.arange(n - GRAM + 1)
+    grams = np.arange(n - gram + 1)
     key = np.full(-(-n // reach) * reach + reach, np.iinfo(np.uint64).max, _U)
-    key[: len(grams)] = hashes(grams, grams + GRAM) >> _U(32) << _U(32) | grams.astype(_U)
+    key[: len(grams)] = hashes(grams, grams + gram) >> _U(32) << _U(32) | grams.astype(_U)
     table = key.reshape(-1, reach)
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -111,146 +115,268 @@ class _Least:
         return out
 
 
-def repeat_groups(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
-    """Of suffixes that begin alike: (members, shared left, shared right, whether left extensions differ) for each
-    interval of the prefix tree and each group in it whose members share ``length`` bytes or more in all.
+def repeat_groups(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Of suffixes that begin alike: (members, shared left, shared right) of every maximal repeat of ``length`` bytes or
+    more: all members share just so much to either side, and their extensions differ on both.
 
-    ``left`` holds the text before each suffix, reversed. Shared left is each member's with its closest neighbour."""
+    ``left`` holds the text before each suffix, reversed."""
     n = len(right)
+    if n == 2:
+        x, y = _common(*left), _common(*right)
+        if x + y >= length:
+            yield np.arange(2), x, y
+        return
     by_right = sorted(range(n), key=right.__getitem__)
     by_left = sorted(range(n), key=left.__getitem__)
     lcp = _shared(right, by_right, max(map(len, right)))
-    least = _Least(_shared(left, by_left, max(1, max(map(len, left)))))
-    place = np.empty(n, np.int64)
-    place[by_left] = np.arange(n)
+    least_left, least_right = _Least(_shared(left, by_left, max(1, max(map(len, left))))), _Least(lcp)
+    place, rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    place[by_left], rank[by_right] = np.arange(n), np.arange(n)
     by_right, by_left = np.array(by_right), np.array(by_left)
     for size, a, b in intervals(lcp):
         order = np.sort(place[by_right[a : b + 1]])
-        near = least(order[:-1], order[1:])
-        ok = near >= max(0, length - size)
-        if not ok.any():
+        near = least_left(order[:-1], order[1:])
+        need = max(0, length - size)
+        if near.max() < need:
             continue
-        close = np.maximum(np.concatenate(([-1], np.where(ok, near, -1))), np.concatenate((np.where(ok, near, -1), [-1])))
-        members = close >= 0
-        yield by_left[order[members]], close[members], size, bool((near == near[0]).all() and near.min() == 0)
+        ranks = rank[by_left[order]]
+        for i, j in _stretches(near >= need):
+            for shared, p, q in intervals(near[i:j]):
+                if shared >= need:
+                    at = ranks[i + p : i + q + 1]
+                    low, high = at.min(), at.max()
+                    if least_right(np.array([low]), np.array([high]))[0] == size:  # else all lie in one branch, and reach further
+                        yield by_left[order[i + p : i + q + 1]], shared, size
 
 
-def _described(docs: DataFrame, text_col: str, length: int) -> DataFrame:
-    """(h, c, rid, pos, before, after): every anchor, its context's hash and extent."""
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings share from the beginning."""
+    n = min(len(a), len(b))
+    differ = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n) if n else np.zeros(0, bool)
+    return int(differ.argmax()) if differ.any() else n
+
+
+def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of True, as (first, end)."""
+    step = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+
+
+def _whole_words(text: bytes, a: int, b: int) -> int:
+    """Words of text[a:b] that it doesn't cut."""
+    n = len(text[a:b].split())
+    white = b" \t\n\x0b\x0c\r"
+    n -= a > 0 and text[a] not in white and text[a - 1] not in white
+    n -= b < len(text) and text[b] not in white and text[b - 1] not in white
+    return max(0, n)
+
+
+def _described(docs: DataFrame, length: int, window: int) -> DataFrame:
+    """(h, c, rid, pos, before, after, words): every anchor, its context's hash, extent and whole words."""
+    gram = min(GRAM, window)
+    names = ["h", "c", "rid", "pos", "before", "after", "words"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in slices(batch, "text"):
                 hashes = _Hashes(buf)
-                at, row = anchors(buf, off, hashes, length)
-                before = np.minimum(at - off[row], length - GRAM)
-                after = np.minimum(off[row + 1] - at, length)
-                h = hashes(at, at + GRAM)
-                c = mix(hashes(at - before, at + after) ^ (before.astype(_U) << _U(32)))
+                at, row = anchors(buf, off, hashes, window, gram)
+                low, high = np.maximum(at - (length - gram), off[row]), np.minimum(at + length, off[row + 1])
+                h = hashes(at, at + gram)
+                c = mix(hashes(low, high) ^ ((at - low).astype(_U) << _U(32)))
+                white = WHITE[buf]
+                begins = ~white
+                begins[1:] &= white[:-1]
+                edge = off[1:-1][off[1:-1] < len(buf)]
+                begins[edge] = ~white[edge]
+                words = np.concatenate(([0], np.cumsum(begins)))
+                cut = (high < off[row + 1]) & ~white[np.minimum(high, len(buf) - 1)] & ~white[high - 1] if len(at) else np.zeros(0, bool)
                 rid = part.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
-                cols = [h.view(np.int64), c.view(np.int64), rid, at - off[row], before, after]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["h", "c", "rid", "pos", "before", "after"])
+                cols = [h.view(np.int64), c.view(np.int64), rid, at - off[row], at - low, high - at, np.maximum(words[high] - words[low] - cut, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) for x, k in zip(cols, kinds, strict=True)], names)
+
+    return docs.select("rid", "text").mapInArrow(run, "h long, c long, rid long, pos long, before int, after int, words int")
+
+
+class _Search:
+    """The repeats of a table: its rows dealt into blocks, classes of equal contexts, and what differs."""
+
+    def __init__(self, docs: DataFrame, length: int, shared: int, id_col: str, text_col: str, most_contexts: int):
+        self.length, self.shared, self.most = length, min(shared, length), most_contexts
+        self.gram = min(GRAM, self.shared)
+        self.n = parts_for(docs, F.octet_length(F.col(f"`{text_col}`")), BLOCK_BYTES)
+        name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+        keyed = docs.select(name.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(name, text).alias("rid"))
+        self.block = F.pmod(F.col("rid"), F.lit(self.n)).alias("block")
+        self.dealt = keyed.select("doc_id", "text", "rid", self.block).repartition(self.n, "block")
+        self.found = _described(keyed, length, self.shared)
+        # the class's first member, and whether another document has it too
+        one = F.min(F.struct("rid", "pos", "before", "after", "words"))
+        classes = self.found.groupBy("h", "c").agg(F.count("*").alias("n"), one.alias("one"), F.max("rid").alias("last"))
+        self.classes = classes.select("h", "c", "n", "one.*", (F.col("last") != F.col("one.rid")).alias("across"))
+        several = self.classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
+        # only classes of one are still to be found; those of several take part as what others repeat
+        self.need = self.classes.join(several, "h").select("h", "c", "contexts", "rid", "pos", "before", "after", self.block).repartition(self.n, "block")
+
+    def contexts(self, need: DataFrame) -> DataFrame:
+        """``need`` with each context's text, and with the hashes of its windows where there are too many."""
+        most, length, shared, gram = self.most, self.length, self.shared, self.gram
+
+        def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
+            buf, off = flat(left.column("text"))
+            rows = dict(zip(left.column("rid").to_pylist(), range(left.num_rows), strict=True))
+            zero = np.array([off[rows[r]] for r in right.column("rid").to_pylist()], np.int64)
+            at = zero + right.column("pos").to_numpy()
+            low, high = at - right.column("before").to_numpy(), at + right.column("after").to_numpy()
+            wide = right.column("contexts").to_numpy() > most
+            data = buf.tobytes()
+            text = [None if w else data[x:y] for x, y, w in zip(low.tolist(), high.tolist(), wide.tolist(), strict=True)]
+            table = right.select(["h", "c", "rid", "pos", "before"]).append_column("text", pa.array(text, pa.binary()))
+            windows: list = [None] * len(at)
+            if wide.any():
+                hashes = _Hashes(buf)
+                for k in np.flatnonzero(wide):
+                    s = np.arange(low[k], high[k] - length + 1)
+                    start, end = _word_windows(buf[low[k] : high[k]], int(at[k] - low[k]), gram, shared)
+                    hs = [hashes(s, s + length).view(np.int64), mix(hashes(low[k] + start, low[k] + end)).view(np.int64)]
+                    first, size = np.concatenate((s, low[k] + start)) - zero[k], np.concatenate((np.full(len(s), length), np.zeros(len(start), np.int64)))
+                    windows[k] = [{"w": w, "a": a, "size": z} for w, a, z in zip(np.concatenate(hs).tolist(), first.tolist(), size.tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("w", pa.int64()), ("a", pa.int64()), ("size", pa.int64())]))
+            return table.append_column("windows", pa.array(windows, kind))
 
-    return docs.select("rid", F.col(text_col).alias("text")).mapInArrow(run, "h long, c long, rid long, pos long, before long, after long")
+        schema = "h long, c long, rid long, pos long, before int, text binary, windows array<struct<w:long,a:long,size:long>>"
+        return self.dealt.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(cut_out, schema)
 
+    def suffixes(self) -> DataFrame:
+        return self.contexts(self.need.where(F.col("contexts") <= self.most)).select("h", "c", "rid", "pos", "before", "text").repartition(self.n, "h").sortWithinPartitions("h")
 
-def repeated_spans(
+
+def _word_windows(buf: np.ndarray, at: int, gram: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of WORDS + 1 whole words that hold the gram at ``at``, of ``shared`` bytes or more."""
+    inside = np.concatenate(([0], (~WHITE[buf]).astype(np.int8), [0]))
+    step = np.diff(inside)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    start, end = start[: max(0, len(start) - WORDS)], end[WORDS:]
+    ok = (start <= at) & (end >= at + gram) & (end - start >= shared)
+    return start[ok], end[ok]
+
+
+def _split(table: pa.Table) -> tuple[list[bytes], list[bytes], list[bytes]]:
+    """Contexts, and of each the reversed text before the anchor and the text from it on."""
+    text, before = table.column("text").to_pylist(), table.column("before").to_pylist()
+    return text, [t[:x][::-1] for t, x in zip(text, before, strict=True)], [t[x:] for t, x in zip(text, before, strict=True)]
+
+
+def maximal_repeats(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS
 ) -> DataFrame:
-    """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary) for each input row: the maximal runs of UTF-8
-    bytes covered by a ``length``-byte string that also starts anywhere else in the table, and what is left without them.
+    """(group_id, doc_id, start, length): all occurrences, in bytes, of each maximal repeat of ``length`` bytes or more.
 
-    Matches never cross rows and are judged on the input. A null or empty text has 0 bytes and no spans. A row given
-    twice repeats itself. Null ids come back as they are; other columns are ignored; an empty table gives no rows.
-    """
-    n = parts_for(docs, F.octet_length(F.col(text_col)), BLOCK_BYTES)
-    keyed = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rid")
-    )
-    block = F.pmod(F.col("rid"), F.lit(n)).alias("block")
-    dealt = keyed.select("doc_id", "text", "rid", block).repartition(n, "block")
-    found = _described(keyed, "text", length)
+    Maximal is meant within what an anchor reaches, ``length`` bytes and no more to either side; a longer passage comes
+    as several overlapping groups. An occurrence is listed once for each group; a row given twice occurs twice. Texts
+    without repeats, null and empty ones have no rows. Of an anchor with more than ``most_contexts`` contexts the groups
+    are single windows. Null ids come back as they are; other columns are ignored; an empty table gives no rows."""
+    search = _Search(docs, length, length, id_col, text_col, most_contexts)
 
-    classes = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos", "before", "after")).alias("one"))
-    several = classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    same = found.join(classes.where("n > 1").select("h", "c"), ["h", "c"])
-    cover = same.select("rid", (F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("after")).alias("b"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["h"]):
+            text, left, right = _split(table)
+            before, cs = table.column("before").to_pylist(), table.column("c").to_pylist()
+            rows = []
+            for members, x, y in repeat_groups(left, right, length):
+                m = members[0]
+                name = xxh3_64_intdigest(text[m][before[m] - x : before[m] + y]) - (1 << 63)
+                rows += [(name, cs[k], x, y) for k in members.tolist()]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["group_id", "c", "x", "y"])
+
+    differ = search.suffixes().mapInArrow(compare, "group_id long, c long, x long, y long")
+    whole = search.classes.where(F.col("n") > 1).where(F.col("before") + F.col("after") >= length)
+    groups = differ.unionByName(whole.select(F.col("c").alias("group_id"), "c", F.col("before").cast("long").alias("x"), F.col("after").cast("long").alias("y")))
+    places = search.found.select("c", "rid", "pos").join(groups, "c").select("group_id", "rid", (F.col("pos") - F.col("x")).alias("start"), (F.col("x") + F.col("y")).alias("length"))
+    wide = search.need.where(F.col("contexts") > most_contexts)
+    windows = search.contexts(wide).select("c", "pos", F.explode("windows").alias("w")).where(F.col("w.size") > 0).select(F.col("w.w").alias("group_id"), "c", (F.col("pos") - F.col("w.a")).alias("x"))
+    single = search.found.select("c", "rid", "pos").join(windows, "c").select("group_id", "rid", (F.col("pos") - F.col("x")).alias("start")).distinct()
+    twice = single.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    places = places.unionByName(single.join(twice, "group_id").withColumn("length", F.lit(length).cast("long")))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("rid"))
+    return places.distinct().join(rows, "rid").select("group_id", "doc_id", "start", "length")
 
-    need = classes.join(several, "h").select("h", "contexts", "one.*").select("*", block).repartition(n, "block")
 
-    def cut_out(left: pa.Table, right: pa.Table) -> pa.Table:
-        buf, off = flat(left.column("text"))
-        rows = dict(zip(left.column("rid").to_pylist(), range(left.num_rows), strict=True))
-        rid = right.column("rid").to_pylist()
-        zero = np.array([off[rows[r]] for r in rid], np.int64)
-        at = zero + right.column("pos").to_numpy()
-        before, after = right.column("before").to_numpy(), right.column("after").to_numpy()
-        wide = right.column("contexts").to_numpy() > most_contexts
-        data = buf.tobytes()
-        text = [None if w else data[q - x : q + y] for q, x, y, w in zip(at.tolist(), before.tolist(), after.tolist(), wide.tolist(), strict=True)]
-        table = right.select(["h", "rid", "pos", "before", "contexts"]).append_column("text", pa.array(text, pa.binary()))
-        starts = [None] * len(rid)
-        if wide.any():
-            hashes = _Hashes(buf)
-            for k in np.flatnonzero(wide):
-                s = np.arange(at[k] - before[k], at[k] + after[k] - length + 1)
-                starts[k] = hashes(s, s + length).view(np.int64)
-        return table.append_column("windows", pa.array(starts, pa.list_(pa.int64())))
-
-    schema = "h long, rid long, pos long, before long, contexts long, text binary, windows array<long>"
-    contexts = dealt.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(cut_out, schema)
+def repeated_spans(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_contexts: int = MOST_CONTEXTS, shared: int = SHARED
+) -> DataFrame:
+    """(doc_id, n_bytes, spans array<struct<start, end>>, shared_words, kept binary) for each input row: the maximal runs
+    of UTF-8 bytes covered by a ``length``-byte string that also starts anywhere else in the table, and what is left
+    without them. shared_words is the words of the longest passage of over WORDS words and ``shared`` bytes that a maximal
+    repeat has in common with another document (as far as one anchor reaches), 0 if there is none.
+
+    Matches never cross rows and are judged on the input. A null or empty text has 0 bytes and no spans. A row given
+    twice repeats itself, but shares nothing with another document. Null ids come back as they are; other columns are
+    ignored; an empty table gives no rows.
+    """
+    search = _Search(docs, length, shared, id_col, text_col, most_contexts)
+    least, block, n, dealt = search.shared, search.block, search.n, search.dealt
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for table in runs(batches, ["h"]):
-            text, before = table.column("text").to_pylist(), table.column("before").to_numpy()
-            left = [t[:x][::-1] for t, x in zip(text, before.tolist(), strict=True)]
-            right = [t[x:] for t, x in zip(text, before.tolist(), strict=True)]
-            l, r = np.full(len(text), -1), np.zeros(len(text), np.int64)  # noqa: E741
-            for members, near, size, _ in repeat_groups(left, right, length):
-                l[members] = np.maximum(l[members], near)
-                r[members] = np.maximum(r[members], size)
-            hit = np.flatnonzero(l >= 0)
+            text, left, right = _split(table)
+            before, rid = table.column("before").to_numpy(), table.column("rid").to_numpy()
+            l, r, words = (np.zeros(len(text), np.int64) for _ in range(3))  # noqa: E741
+            for members, x, y in repeat_groups(left, right, least):
+                if x + y >= length:
+                    l[members] = np.maximum(l[members], x)
+                    r[members] = np.maximum(r[members], y)
+                m = int(members[0])
+                if (rid[members] != rid[m]).any():
+                    size = _whole_words(text[m], before[m] - x, before[m] + y)
+                    if size > WORDS:
+                        words[members] = np.maximum(words[members], size)
+            hit = np.flatnonzero((r > 0) | (words > 0))
             if len(hit):
                 pos = table.column("pos").to_numpy()[hit]
-                out.append((table.column("rid").to_numpy()[hit], pos - l[hit], pos + r[hit]))
+                out.append((rid[hit], pos - l[hit], pos + r[hit], words[hit]))
             if len(out) > 2000:
                 yield _spans(out)
                 out = []
         yield _spans(out)
 
     def _spans(out: list[tuple]) -> pa.RecordBatch:
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "a", "b"])
-
-    sorted_ = contexts.where("windows is null").select("h", "rid", "pos", "before", "text").repartition(n, "h").sortWithinPartitions("h")
-    cover = cover.unionByName(sorted_.mapInArrow(compare, "rid long, a long, b long"))
-
-    wide = need.where(F.col("contexts") > most_contexts)
-    if most_contexts < 1 << 60:
-        windows = (
-            dealt.groupBy("block").cogroup(wide.groupBy("block")).applyInArrow(cut_out, schema)
-            .select("rid", (F.col("pos") - F.col("before")).alias("s"), F.posexplode("windows").alias("k", "w"))
-            .select("w", "rid", (F.col("s") + F.col("k")).alias("a"))
-            .distinct()
-        )
-        twice = windows.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-        cover = cover.unionByName(windows.join(twice, "w").select("rid", "a", (F.col("a") + F.lit(length)).alias("b")))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] or [np.zeros(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "a", "b", "words"])
+
+    covers = F.col("before") + F.col("after") >= length
+    tells = F.when(F.col("across") & (F.col("words") > WORDS) & (F.col("before") + F.col("after") >= least), F.col("words")).otherwise(0)
+    whole = search.classes.where("n > 1").withColumn("tells", tells).where(covers | (F.col("tells") > 0)).select("h", "c", "tells")
+    cover = search.found.select("h", "c", "rid", "pos", "before", "after").join(whole, ["h", "c"]).select(
+        "rid", F.when(covers, F.col("pos") - F.col("before")).otherwise(F.col("pos")).alias("a"), F.when(covers, F.col("pos") + F.col("after")).otherwise(F.col("pos")).alias("b"), F.col("tells").cast("long").alias("words")
+    )
+    cover = cover.unionByName(search.suffixes().mapInArrow(compare, "rid long, a long, b long, words long"))
+
+    wide = search.need.where(F.col("contexts") > most_contexts)
+    windows = search.contexts(wide).select("rid", F.explode("windows").alias("x")).select(F.col("x.w").alias("w"), F.col("x.size").alias("size"), "rid", F.col("x.a").alias("a")).distinct()
+    twice = windows.groupBy("w", "size").agg(F.count("*").alias("n"), (F.min("rid") != F.max("rid")).alias("across"))
+    twice = twice.where("(size > 0 and n > 1) or (size = 0 and across)").select("w", "size")
+    cover = cover.unionByName(windows.join(twice, ["w", "size"]).select("rid", "a", (F.col("a") + F.col("size")).alias("b"), F.when(F.col("size") == 0, WORDS + 1).otherwise(0).cast("long").alias("words")))
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         buf, off = flat(left.column("text"))
         by = np.lexsort((right.column("a").to_numpy(), right.column("rid").to_numpy()))
-        rid, a, b = (right.column(c).to_numpy()[by] for c in ("rid", "a", "b"))
+        rid, a, b, w = (right.column(c).to_numpy()[by] for c in ("rid", "a", "b", "words"))
         cuts = {int(rid[i]): (i, j) for i, j in _groups(rid)}
-        spans, kept = [], []
-        for row, (lo, hi, key) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), left.column("rid").to_pylist(), strict=True)):
+        spans, kept, words = [], [], []
+        for lo, hi, key in zip(off[:-1].tolist(), off[1:].tolist(), left.column("rid").to_pylist(), strict=True):
             mine: list[dict] = []
-            if key in cuts:
-                i, j = cuts[key]
-                high = np.maximum.accumulate(b[i:j])
-                new = np.flatnonzero(np.concatenate(([True], a[i + 1 : j] > high[:-1])))
-                ends = high[np.concatenate((new[1:] - 1, [j - i - 1]))]
-                mine = [{"start": x, "end": y} for x, y in zip(a[i:j][new].tolist(), ends.tolist(), strict=True)]
+            i, j = cuts.get(key, (0, 0))
+            words.append(int(w[i:j].max()) if j > i else 0)
+            some = np.flatnonzero(b[i:j] > a[i:j]) + i
+            if len(some):
+                first, high = a[some], np.maximum.accumulate(b[some])
+                new = np.flatnonzero(np.concatenate(([True], first[1:] > high[:-1])))
+                ends = high[np.concatenate((new[1:] - 1, [len(some) - 1]))]
+                mine = [{"start": x, "end": y} for x, y in zip(first[new].tolist(), ends.tolist(), strict=True)]
             at, parts = lo, []
             for s in mine:
                 parts.append(buf[at : lo + s["start"]].tobytes())
@@ -264,13 +390,14 @@ def repeated_spans(
                 "doc_id": left.column("doc_id"),
                 "n_bytes": pa.array(np.diff(off), pa.int64()),
                 "spans": pa.array(spans, kind),
+                "shared_words": pa.array(words, pa.int64()),
                 "kept": pa.array(kept, pa.binary()),
             }
         )
 
-    covered = cover.select("rid", "a", "b", block).repartition(n, "block")
+    covered = cover.select("rid", "a", "b", "words", block).repartition(n, "block")
     return dealt.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(
-        apply, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+        apply, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, shared_words long, kept binary"
     )
 
 
@@ -286,5 +413,5 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return rows.select(
-        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shared_words"
     )
