@@ -44,6 +44,15 @@ class _Hashes:
         np.cumsum(_TABLE[buf] * powers(len(buf))[:-1], out=self.acc[1:])
         self.inverse = powers(len(buf), _BASE_INV)
 
+    def grams(self, size: int) -> np.ndarray:
+        """For every ``size`` bytes, 32 bits of a hash above their place."""
+        key = self.acc[size:] - self.acc[:-size]
+        key *= self.inverse[: len(key)]
+        key *= _U(0xD1342543DE82EF95)
+        key &= _U(0xFFFFFFFF00000000)
+        key |= np.arange(len(key), dtype=_U)
+        return key
+
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.acc[end] - self.acc[start]) * self.inverse[start] ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93)))
 
@@ -54,9 +63,9 @@ def anchors(buf: np.ndarray, off: np.ndarray, hashes: _Hashes, length: int = LEN
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none
-    grams = np.arange(n - gram + 1)
+    grams = hashes.grams(gram)
     key = np.full(-(-n // reach) * reach + reach, np.iinfo(np.uint64).max, _U)
-    key[: len(grams)] = hashes(grams, grams + gram) >> _U(32) << _U(32) | grams.astype(_U)
+    key[: len(grams)] = grams
     table = key.reshape(-1, reach)
     ahead = np.minimum.accumulate(table, axis=1).ravel()
     behind = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
@@ -115,38 +124,96 @@ class _Least:
         return out
 
 
-def repeat_groups(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[np.ndarray, int, int]]:
-    """Of suffixes that begin alike: (members, shared left, shared right) of every maximal repeat of ``length`` bytes or
-    more: all members share just so much to either side, and their extensions differ on both.
+class Suffixes:
+    """The enhanced suffix array of suffixes that begin alike, with the order of what stands before them.
 
     ``left`` holds the text before each suffix, reversed."""
+
+    def __init__(self, left: list[bytes], right: list[bytes], length: int):
+        n = len(right)
+        by_right = sorted(range(n), key=right.__getitem__)
+        by_left = sorted(range(n), key=left.__getitem__)
+        lcp = _shared(right, by_right, max(map(len, right)))
+        self.length, self.intervals = length, intervals(lcp)
+        self.least_left, self.least_right = _Least(_shared(left, by_left, max(1, max(map(len, left))))), _Least(lcp)
+        self.place, self.rank = np.empty(n, np.int64), np.empty(n, np.int64)
+        self.place[by_left], self.rank[by_right] = np.arange(n), np.arange(n)
+        self.by_right, self.by_left = np.array(by_right), np.array(by_left)
+
+    def groups(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(shared right, members, where each group begins, shared left of neighbours within groups or -1) for each
+        interval of the prefix tree: its groups are the members that share ``length`` bytes in all, each with some other
+        one, in order of their left texts. A group whose members all stand in one branch of the interval reaches further
+        right and is left to that branch."""
+        for size, a, b in self.intervals:
+            order = np.sort(self.place[self.by_right[a : b + 1]])
+            near = self.least_left(order[:-1], order[1:])
+            ok = near >= max(0, self.length - size)
+            if not ok.any():
+                continue
+            members, near = self.by_left[order], np.where(ok, near, -1)
+            first = np.flatnonzero(np.concatenate(([True], ~ok)))
+            ranks = self.rank[members]
+            low, high = np.minimum.reduceat(ranks, first), np.maximum.reduceat(ranks, first)
+            many = np.flatnonzero(high > low)
+            diverse = many[self.least_right(low[many], high[many]) == size]
+            if not len(diverse):
+                continue
+            if len(diverse) < len(first):
+                sizes = np.diff(np.append(first, len(order)))
+                keep = np.repeat(np.isin(np.arange(len(first)), diverse), sizes)
+                members, near = members[keep], np.append(near, -1)[keep][:-1]
+                first = np.concatenate(([0], np.cumsum(sizes[diverse])[:-1]))
+            yield size, members, first, near
+
+    def maximal(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(members, shared left, shared right) of every maximal repeat: groups within groups by what they share to the
+        left, whose extensions differ on both sides."""
+        for size, members, first, near in self.groups():
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(members)], strict=True):
+                for shared, p, q in intervals(near[i : j - 1]):
+                    at = self.rank[members[i + p : i + q + 1]]
+                    if self.least_right(at.min(keepdims=True), at.max(keepdims=True))[0] == size:
+                        yield members[i + p : i + q + 1], shared, size
+
+
+def repeat_groups(left: list[bytes], right: list[bytes], length: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(members, shared left, shared right) of the maximal repeats of ``length`` bytes or more."""
+    return Suffixes(left, right, length).maximal()
+
+
+def reaches(left: list[bytes], right: list[bytes], owner: np.ndarray, length: int, passage: int) -> tuple[np.ndarray, ...]:
+    """For each suffix: how far left and right repeats of ``length`` bytes cover it (0, 0: not), and the same of the
+    longest repeat of ``passage`` (at most ``length``) bytes or more with a suffix of another owner."""
     n = len(right)
-    if n == 2:
+    out = tuple(np.zeros(n, np.int64) for _ in range(4))
+    l, r, pl, pr = out  # noqa: E741
+    if n == 2:  # the one pair is the one group
         x, y = _common(*left), _common(*right)
         if x + y >= length:
-            yield np.arange(2), x, y
-        return
-    by_right = sorted(range(n), key=right.__getitem__)
-    by_left = sorted(range(n), key=left.__getitem__)
-    lcp = _shared(right, by_right, max(map(len, right)))
-    least_left, least_right = _Least(_shared(left, by_left, max(1, max(map(len, left))))), _Least(lcp)
-    place, rank = np.empty(n, np.int64), np.empty(n, np.int64)
-    place[by_left], rank[by_right] = np.arange(n), np.arange(n)
-    by_right, by_left = np.array(by_right), np.array(by_left)
-    for size, a, b in intervals(lcp):
-        order = np.sort(place[by_right[a : b + 1]])
-        near = least_left(order[:-1], order[1:])
-        need = max(0, length - size)
-        if near.max() < need:
-            continue
-        ranks = rank[by_left[order]]
-        for i, j in _stretches(near >= need):
-            for shared, p, q in intervals(near[i:j]):
-                if shared >= need:
-                    at = ranks[i + p : i + q + 1]
-                    low, high = at.min(), at.max()
-                    if least_right(np.array([low]), np.array([high]))[0] == size:  # else all lie in one branch, and reach further
-                        yield by_left[order[i + p : i + q + 1]], shared, size
+            l[:], r[:] = x, y
+        if x + y >= passage and owner[0] != owner[1]:
+            pl[:], pr[:] = x, y
+        return out
+    array = Suffixes(left, right, passage)
+    for size, members, first, near in array.groups():
+        close = np.maximum(np.concatenate(([-1], near)), np.concatenate((near, [-1])))
+        far = members[close >= length - size]
+        l[far], r[far] = np.maximum(l[far], close[close >= length - size]), np.maximum(r[far], size)
+        who, at, k = owner[members], array.place[members], np.arange(len(members))
+        begins = np.isin(k, first)
+        other = begins | np.concatenate(([True], who[1:] != who[:-1]))
+        block = np.flatnonzero(other)  # members of one owner and group that stand together: their neighbours are others'
+        of = np.cumsum(other) - 1
+        before, after = block[of] - 1, np.append(block[1:], len(members))[of]
+        best = np.full(len(members), -1)
+        for near_one, ok in ((before, ~begins[block[of]]), (after, ~np.append(begins, True)[after])):
+            if ok.any():
+                low, high = np.minimum(at[k[ok]], at[near_one[ok]]), np.maximum(at[k[ok]], at[near_one[ok]])
+                best[ok] = np.maximum(best[ok], array.least_left(low, high))
+        more = (best >= 0) & (best + size > pl[members] + pr[members])
+        pl[members[more]], pr[members[more]] = best[more], size
+    return out
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -156,12 +223,6 @@ def _common(a: bytes, b: bytes) -> int:
     return int(differ.argmax()) if differ.any() else n
 
 
-def _stretches(flags: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of True, as (first, end)."""
-    step = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
-
-
 def _whole_words(text: bytes, a: int, b: int) -> int:
     """Words of text[a:b] that it doesn't cut."""
     n = len(text[a:b].split())
@@ -202,7 +263,7 @@ def _described(docs: DataFrame, length: int, window: int) -> DataFrame:
 class _Search:
     """The repeats of a table: its rows dealt into blocks, classes of equal contexts, and what differs."""
 
-    def __init__(self, docs: DataFrame, length: int, shared: int, id_col: str, text_col: str, most_contexts: int):
+    def __init__(self, docs: DataFrame, length: int, shared: int, id_col: str, text_col: str, most_contexts: int, whole: bool = False):
         self.length, self.shared, self.most = length, min(shared, length), most_contexts
         self.gram = min(GRAM, self.shared)
         self.n = parts_for(docs, F.octet_length(F.col(f"`{text_col}`")), BLOCK_BYTES)
@@ -210,14 +271,17 @@ class _Search:
         keyed = docs.select(name.cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(name, text).alias("rid"))
         self.block = F.pmod(F.col("rid"), F.lit(self.n)).alias("block")
         self.dealt = keyed.select("doc_id", "text", "rid", self.block).repartition(self.n, "block")
-        self.found = _described(keyed, length, self.shared)
+        # the conditions on both always hold; stated here, the joins add none of their own, and uses share one exchange
+        self.found = _described(keyed, length, self.shared).where("h is not null and c is not null")
         # the class's first member, and whether another document has it too
         one = F.min(F.struct("rid", "pos", "before", "after", "words"))
         classes = self.found.groupBy("h", "c").agg(F.count("*").alias("n"), one.alias("one"), F.max("rid").alias("last"))
+        classes = classes.where("n > 0 and one is not null and last is not null")  # as above
         self.classes = classes.select("h", "c", "n", "one.*", (F.col("last") != F.col("one.rid")).alias("across"))
         several = self.classes.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
-        # only classes of one are still to be found; those of several take part as what others repeat
-        self.need = self.classes.join(several, "h").select("h", "c", "contexts", "rid", "pos", "before", "after", self.block).repartition(self.n, "block")
+        # classes that others differ from; with whole, also those that only repeat themselves
+        joined = self.classes.join(several, "h", "left").withColumn("contexts", F.coalesce("contexts", F.lit(1))).where("contexts > 1 or n > 1") if whole else self.classes.join(several, "h")
+        self.need = joined.select("h", "c", "n", "contexts", "rid", "pos", "before", "after", self.block).repartition(self.n, "block")
 
     def contexts(self, need: DataFrame) -> DataFrame:
         """``need`` with each context's text, and with the hashes of its windows where there are too many."""
@@ -232,7 +296,7 @@ class _Search:
             wide = right.column("contexts").to_numpy() > most
             data = buf.tobytes()
             text = [None if w else data[x:y] for x, y, w in zip(low.tolist(), high.tolist(), wide.tolist(), strict=True)]
-            table = right.select(["h", "c", "rid", "pos", "before"]).append_column("text", pa.array(text, pa.binary()))
+            table = right.select(["h", "c", "n", "rid", "pos", "before"]).append_column("text", pa.array(text, pa.binary()))
             windows: list = [None] * len(at)
             if wide.any():
                 hashes = _Hashes(buf)
@@ -245,11 +309,11 @@ class _Search:
             kind = pa.list_(pa.struct([("w", pa.int64()), ("a", pa.int64()), ("size", pa.int64())]))
             return table.append_column("windows", pa.array(windows, kind))
 
-        schema = "h long, c long, rid long, pos long, before int, text binary, windows array<struct<w:long,a:long,size:long>>"
+        schema = "h long, c long, n long, rid long, pos long, before int, text binary, windows array<struct<w:long,a:long,size:long>>"
         return self.dealt.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(cut_out, schema)
 
     def suffixes(self) -> DataFrame:
-        return self.contexts(self.need.where(F.col("contexts") <= self.most)).select("h", "c", "rid", "pos", "before", "text").repartition(self.n, "h").sortWithinPartitions("h")
+        return self.contexts(self.need.where(F.col("contexts") <= self.most)).select("h", "c", "n", "rid", "pos", "before", "text").repartition(self.n, "h").sortWithinPartitions("h")
 
 
 def _word_windows(buf: np.ndarray, at: int, gram: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,34 +338,38 @@ def maximal_repeats(
     """(group_id, doc_id, start, length): all occurrences, in bytes, of each maximal repeat of ``length`` bytes or more.
 
     Maximal is meant within what an anchor reaches, ``length`` bytes and no more to either side; a longer passage comes
-    as several overlapping groups. An occurrence is listed once for each group; a row given twice occurs twice. Texts
-    without repeats, null and empty ones have no rows. Of an anchor with more than ``most_contexts`` contexts the groups
-    are single windows. Null ids come back as they are; other columns are ignored; an empty table gives no rows."""
-    search = _Search(docs, length, length, id_col, text_col, most_contexts)
+    as several overlapping groups. A group's passage has its anchor in itself, so every place in the table that says it
+    is listed, once; a row given twice says it twice. Texts without repeats, null and empty ones have no rows. Of an anchor
+    with more than ``most_contexts`` contexts the groups are single windows. Null ids come back as they are; other columns
+    are ignored; an empty table gives no rows."""
+    search = _Search(docs, length, length, id_col, text_col, most_contexts, whole=True)
+    gram = search.gram
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["h"]):
             text, left, right = _split(table)
             before, cs = table.column("before").to_pylist(), table.column("c").to_pylist()
-            rows = []
-            for members, x, y in repeat_groups(left, right, length):
+            rows = [(text[k], cs[k], before[k], len(text[k]) - before[k]) for k in np.flatnonzero(table.column("n").to_numpy() > 1) if len(text[k]) >= length]
+            for members, x, y in repeat_groups(left, right, length) if len(text) > 1 else ():
                 m = members[0]
-                name = xxh3_64_intdigest(text[m][before[m] - x : before[m] + y]) - (1 << 63)
-                rows += [(name, cs[k], x, y) for k in members.tolist()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
+                passage = np.frombuffer(text[m], np.uint8)[before[m] - x : before[m] + y]
+                # else the passage is found by an anchor of its own, and reaches further than this one
+                if x in anchors(passage, np.array([0, len(passage)]), _Hashes(passage), length, gram)[0]:
+                    rows += [(passage.tobytes(), cs[k], x, y) for k in members.tolist()]
+            cols = list(zip(*[(xxh3_64_intdigest(p) - (1 << 63), *r) for p, *r in rows], strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["group_id", "c", "x", "y"])
 
-    differ = search.suffixes().mapInArrow(compare, "group_id long, c long, x long, y long")
-    whole = search.classes.where(F.col("n") > 1).where(F.col("before") + F.col("after") >= length)
-    groups = differ.unionByName(whole.select(F.col("c").alias("group_id"), "c", F.col("before").cast("long").alias("x"), F.col("after").cast("long").alias("y")))
+    groups = search.suffixes().mapInArrow(compare, "group_id long, c long, x long, y long")
     places = search.found.select("c", "rid", "pos").join(groups, "c").select("group_id", "rid", (F.col("pos") - F.col("x")).alias("start"), (F.col("x") + F.col("y")).alias("length"))
     wide = search.need.where(F.col("contexts") > most_contexts)
     windows = search.contexts(wide).select("c", "pos", F.explode("windows").alias("w")).where(F.col("w.size") > 0).select(F.col("w.w").alias("group_id"), "c", (F.col("pos") - F.col("w.a")).alias("x"))
-    single = search.found.select("c", "rid", "pos").join(windows, "c").select("group_id", "rid", (F.col("pos") - F.col("x")).alias("start")).distinct()
+    single = search.found.select("c", "rid", "pos").join(windows, "c").select("group_id", "rid", (F.col("pos") - F.col("x")).alias("start"))
+    name, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(name.cast("long").alias("doc_id"), F.xxhash64(name, text).alias("rid"))
+    single = single.distinct().join(rows, "rid")
     twice = single.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
-    places = places.unionByName(single.join(twice, "group_id").withColumn("length", F.lit(length).cast("long")))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("rid"))
-    return places.distinct().join(rows, "rid").select("group_id", "doc_id", "start", "length")
+    windows = single.join(twice, "group_id").select("group_id", "doc_id", "start", F.lit(length).cast("long").alias("length"))
+    return places.distinct().join(rows, "rid").select("group_id", "doc_id", "start", "length").unionByName(windows)
 
 
 def repeated_spans(
@@ -309,8 +377,8 @@ def repeated_spans(
 ) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, shared_words, kept binary) for each input row: the maximal runs
     of UTF-8 bytes covered by a ``length``-byte string that also starts anywhere else in the table, and what is left
-    without them. shared_words is the words of the longest passage of over WORDS words and ``shared`` bytes that a maximal
-    repeat has in common with another document (as far as one anchor reaches), 0 if there is none.
+    without them. shared_words is the words of the longest passage of ``shared`` bytes or more in a repeat group
+    with another document (as far as one anchor reaches), 0 if those are not over WORDS.
 
     Matches never cross rows and are judged on the input. A null or empty text has 0 bytes and no spans. A row given
     twice repeats itself, but shares nothing with another document. Null ids come back as they are; other columns are
@@ -324,16 +392,11 @@ def repeated_spans(
         for table in runs(batches, ["h"]):
             text, left, right = _split(table)
             before, rid = table.column("before").to_numpy(), table.column("rid").to_numpy()
-            l, r, words = (np.zeros(len(text), np.int64) for _ in range(3))  # noqa: E741
-            for members, x, y in repeat_groups(left, right, least):
-                if x + y >= length:
-                    l[members] = np.maximum(l[members], x)
-                    r[members] = np.maximum(r[members], y)
-                m = int(members[0])
-                if (rid[members] != rid[m]).any():
-                    size = _whole_words(text[m], before[m] - x, before[m] + y)
-                    if size > WORDS:
-                        words[members] = np.maximum(words[members], size)
+            l, r, x, y = reaches(left, right, rid, length, least)
+            words = np.zeros(len(text), np.int64)
+            for k in np.flatnonzero(x + y):
+                words[k] = _whole_words(text[k], before[k] - x[k], before[k] + y[k])
+            words[words <= WORDS] = 0
             hit = np.flatnonzero((r > 0) | (words > 0))
             if len(hit):
                 pos = table.column("pos").to_numpy()[hit]
