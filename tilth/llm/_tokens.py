@@ -1,8 +1,9 @@
 """Whole texts to token ids with a published tokenizer, one distinct word at a time.
 
 Both tokenizers cut a text at white space before merging, so a word's ids don't depend on its neighbours, and a worker
-keeps the ids of words it has met lately (two tables of bounded size). A text with white space where that doesn't
-hold is encoded whole. Ids come as little-endian unsigned 32-bit bytes.
+keeps the ids of words it has met lately (two tables of bounded size). New words of plain letters are encoded many in
+one text, whose ids are cut where a word begins or ends; a text with white space where all this doesn't hold is encoded
+whole. Ids come as little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
@@ -38,34 +39,36 @@ class WordEncoder:
         self.before: dict[str, bytes] = {}
         # a byte-level tokenizer without a normalizer keeps white space: the blank belongs to the word after it
         self.keeps_space = len(self.tokenizer.encode("a\nb", add_special_tokens=False).ids) == 3
+        self.line_feed = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]
+        # tokens that begin a word after a blank, or else that end a word
+        self.edge = numpy.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        blank = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])[0]
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.edge[i] = token.startswith(blank) if self.keeps_space else token.endswith("</w>")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = self._with_space if self.keeps_space else self._without_space
         pieces = [split(t) for t in texts]
-        get = self.known.get
-        found = [None if p is None else list(map(get, p)) for p in pieces]
-        need = {w for p, f in zip(pieces, found, strict=True) if p is not None for w, ids in zip(p, f, strict=True) if ids is None}
+        words = set().union(*(p for p in pieces if p is not None))
+        need = words.difference(self.known)
         if need:
-            self._recall(need)
-        known, out = self.known, []
-        for text, p, f in zip(texts, pieces, found, strict=True):
-            if p is None:
-                out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                ids = b"".join([known[w] if ids is None else ids for w, ids in zip(p, f, strict=True)])
-                out.append(ids[4:] if self.keeps_space else ids)
-        return out
+            self._recall(words, need)
+        get, skip = self.known.__getitem__, 4 * self.keeps_space
+        return [
+            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(get, p))[skip:]
+            for t, p in zip(texts, pieces, strict=True)
+        ]
 
-    def _recall(self, need: set[str]) -> None:
-        """Makes ``need`` known: from the words known before, or else by encoding. When the table is full it becomes
-        the one of words known before, so that words in use stay."""
+    def _recall(self, words: set[str], need: set[str]) -> None:
+        """Makes ``words`` known, of which ``need`` aren't: from the words known before, or else by encoding. When the
+        table is full it becomes the one of words known before, so that words in use stay."""
         if len(self.known) + len(need) > KEPT_WORDS:
-            self.before, self.known = self.known, {}
-        old = self.before
-        again = {w: old[w] for w in need if w in old}
-        self.known.update(again)
-        need.difference_update(again)
-        self._learn(need)
+            self.before, self.known, need = self.known, {}, words
+        fresh = need.difference(self.before)
+        again = need.difference(fresh)
+        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        if fresh:
+            self._learn(fresh)
 
     def _with_space(self, text: str) -> list[str] | None:
         """Words: one that starts a line has its line feed before it, any other stands for itself after a blank."""
@@ -79,33 +82,52 @@ class WordEncoder:
         return None if any(c in text for c in _CONTROL) else text.split()
 
     def _learn(self, need: set[str]) -> None:
-        """Encodes words; a plain word and the punctuation after it are looked up apart, as the tokenizers cut there."""
-        units: dict[str, None] = {}
-        parts: dict[str, tuple[str, str]] = {}
-        lead = " " if self.keeps_space else ""
-        form = lambda w: w if w[:1] == "\n" else lead + w
-        for w in need:
+        """Encodes words; a plain word, the line feed before it and the punctuation after it are looked up apart, as the
+        tokenizers cut there."""
+        known, before = self.known, self.before
+        parts: list[tuple[str, str, str]] = []
+        plain, first, units = [w for w in need if _plain(w)], [], []
+        new = set(plain)
+        for w in need.difference(new):
             core = w.rstrip(_ENDS)
-            bare = core[1:] if core[:1] == "\n" else core
-            if bare and core != w and bare.isalpha() and max(bare) < "ɐ":
-                parts[w] = (core, w[len(core) :])
-                if core not in self.known:
-                    if core in self.before:
-                        self.known[core] = self.before[core]
+            on_line = self.keeps_space and core[:1] == "\n"
+            if _plain(core[1:] if on_line else core):
+                if core != w:
+                    parts.append((w, core, w[len(core) :]))
+                if core not in known and core not in new:
+                    if core in before:
+                        known[core] = before[core]
                     else:
-                        units[form(core)] = None
-                units[parts[w][1]] = None
-            else:
-                units[form(w)] = None
-        names = list(units)
-        found = self.tokenizer.encode_batch_fast(names, add_special_tokens=False)
-        ids = {n: self._pack(e.ids) for n, e in zip(names, found, strict=True)}
-        for w in need:
-            if w in parts:
-                core, tail = parts[w]
-                head = self.known.get(core)
-                if head is None:
-                    head = self.known[core] = ids[form(core)]
-                self.known[w] = head + ids[tail]
+                        new.add(core)
+                        (first if on_line else plain).append(core)
             else:
-                self.known[w] = ids[form(w)]
+                units.append(w)
+        for group in (plain, first):
+            for at in range(0, len(group), 1000):
+                self._learn_plain(group[at : at + 1000], group is first)
+        tails = list({t for _, _, t in parts})
+        lead = " " if self.keeps_space else ""
+        names = [w if w[:1] == "\n" else lead + w for w in units]
+        found = self.tokenizer.encode_batch_fast(names + tails, add_special_tokens=False)
+        ids = [self._pack(e.ids) for e in found]
+        known.update(zip(units, ids, strict=False))
+        tail = dict(zip(tails, ids[len(units) :], strict=True))
+        known.update((w, known[core] + tail[t]) for w, core, t in parts)
+
+    def _learn_plain(self, words: list[str], on_line: bool) -> None:
+        """Words of plain letters, all of them at the beginnings of lines or none, encoded as one text."""
+        import numpy
+
+        text = "".join(words) if on_line else " ".join(["", *words] if self.keeps_space else words)
+        ids = numpy.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        at = numpy.flatnonzero(ids == self.line_feed if on_line else self.edge[ids]) * 4
+        cuts = [*at.tolist(), 4 * len(ids)] if self.keeps_space else [0, *(at + 4).tolist()]
+        if len(cuts) != len(words) + 1 or cuts[0] != 0 or cuts[-1] != 4 * len(ids):
+            raise RuntimeError("the tokenizer doesn't cut plain words at blanks")
+        data = ids.tobytes()
+        self.known.update(zip(words, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+
+
+def _plain(word: str) -> bool:
+    """Whether a word is letters that stay one run of letters when lowered, of scripts whose letters don't join."""
+    return word.isalpha() and max(word) < "ɐ" and "İ" not in word
