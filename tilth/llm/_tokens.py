@@ -1,21 +1,35 @@
 """Whole texts to token ids with a published tokenizer, one distinct word at a time.
 
 Both tokenizers cut a text at white space before merging, so a word's ids don't depend on its neighbours, and a worker
-keeps the ids of words it has met lately (two tables of bounded size). New words of plain letters are encoded many in
-one text, whose ids are cut where a word begins or ends; a text with white space where all this doesn't hold is encoded
-whole. Ids come as little-endian unsigned 32-bit bytes.
+keeps the ids of words it has met lately (two tables of bounded size). The texts of a slice are cut where white space
+begins, their distinct pieces are looked up, and the ids are gathered for all texts at once. New words of plain letters
+are encoded many in one text, whose ids are cut where a word begins or ends. A text with white space where all this
+doesn't hold is one piece of its own and encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-
-#: Words in each of a worker's two tables; one takes about 200 bytes.
-KEPT_WORDS = 400_000
-_ENDS = ".,;:!?|"
-#: White space (by any of the libraries' definitions) other than a blank and a line feed.
-_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-_CONTROL = "\x1c\x1d\x1e\x1f"
+from itertools import compress
+
+import numpy as np
+import pyarrow as pa
+
+#: Pieces in each of a worker's two tables; one takes about 220 bytes.
+KEPT_WORDS = 700_000
+#: Bytes of text handled at once; a single longer text is still taken whole.
+SLICE_BYTES = 4 << 20
+#: Longer pieces (whole texts) are not kept.
+LONGEST_KEPT = 200
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_ODD_BYTES = np.zeros(256, bool)
+_ODD_BYTES[[9, 11, 12, 13, 28, 29, 30, 31]] = True
+_WHITE_BYTES = np.zeros(256, bool)
+_WHITE_BYTES[[9, 10, 11, 12, 13, 32]] = True
+#: First bytes of the white space beyond ASCII (by any of the libraries' definitions), and the characters.
+_ODD_LEADS = np.zeros(256, bool)
+_ODD_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_ODD_WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _open: dict[str, WordEncoder] = {}
 
 
@@ -29,105 +43,140 @@ def encoder(path: str) -> WordEncoder:
 
 class WordEncoder:
     def __init__(self, path: str):
-        import numpy
         from tokenizers import Tokenizer
 
-        self._pack = lambda ids: numpy.array(ids, "<u4").tobytes()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         # a byte-level tokenizer without a normalizer keeps white space: the blank belongs to the word after it
-        self.keeps_space = len(self.tokenizer.encode("a\nb", add_special_tokens=False).ids) == 3
-        self.line_feed = self.tokenizer.encode("a\nb", add_special_tokens=False).ids[1]
+        first = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
+        self.keeps_space = len(first) == 3
+        self.line_feed = first[1]
         # tokens that begin a word after a blank, or else that end a word
-        self.edge = numpy.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         blank = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])[0]
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.edge[i] = token.startswith(blank) if self.keeps_space else token.endswith("</w>")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = self._with_space if self.keeps_space else self._without_space
-        pieces = [split(t) for t in texts]
-        words = set().union(*(p for p in pieces if p is not None))
-        need = words.difference(self.known)
-        if need:
-            self._recall(words, need)
-        get, skip = self.known.__getitem__, 4 * self.keeps_space
-        return [
-            self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(get, p))[skip:]
-            for t, p in zip(texts, pieces, strict=True)
-        ]
-
-    def _recall(self, words: set[str], need: set[str]) -> None:
-        """Makes ``words`` known, of which ``need`` aren't: from the words known before, or else by encoding. When the
-        table is full it becomes the one of words known before, so that words in use stay."""
-        if len(self.known) + len(need) > KEPT_WORDS:
-            self.before, self.known, need = self.known, {}, words
-        fresh = need.difference(self.before)
-        again = need.difference(fresh)
-        self.known.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        if fresh:
-            self._learn(fresh)
-
-    def _with_space(self, text: str) -> list[str] | None:
-        """Words: one that starts a line has its line feed before it, any other stands for itself after a blank."""
-        if not text or text[0] in " \n" or text[-1] in " \n":
-            return None if text else ["\n"]
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in _ODD):
-            return None
-        return ("\n" + text.replace("\n", " \n")).split(" ")
-
-    def _without_space(self, text: str) -> list[str] | None:
-        return None if any(c in text for c in _CONTROL) else text.split()
-
-    def _learn(self, need: set[str]) -> None:
-        """Encodes words; a plain word, the line feed before it and the punctuation after it are looked up apart, as the
-        tokenizers cut there."""
+    def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (u4) of all texts of a slice, given as flat() gives it, end to end, and len + 1 offsets into them; with
+        ``end_id``, each text's ids end with it."""
+        cuts, first = self._pieces(buf, off)
+        pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf)))
+        coded = pieces.dictionary_encode()
+        distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        ids = self._ids(distinct)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat_ids = np.frombuffer(b"".join(ids), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        size = sizes[at]
+        if end_id is not None:  # a piece more after each text's last
+            after = np.append(first[1:], len(at))
+            size, source = np.insert(size, after, 1), np.insert(starts[at], after, len(flat_ids))
+            flat_ids = np.append(flat_ids, np.uint32(end_id))
+            first = first + np.arange(len(first))
+        else:
+            source = starts[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat_ids[np.repeat(source - ends + size, size) + np.arange(total)] if total else np.zeros(0, "<u4")
+        return out.astype("<u4", copy=False), np.append(ends[first] - size[first], total) if len(first) else np.zeros(1, np.int64)
+
+    def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the pieces, each with the white space before it, and each text's first piece. Every text has one
+        piece at least, an empty one if need be."""
+        n = len(off) - 1
+        if len(buf) == 0:
+            return np.zeros(n + 1, np.int64), np.arange(n)
+        white = (buf == 32) | (buf == 10) if self.keeps_space else _WHITE_BYTES[buf]
+        text_start = np.zeros(len(buf) + 1, bool)
+        text_start[off] = True
+        odd = _ODD_BYTES[buf] if self.keeps_space else (buf >= 28) & (buf <= 31)
+        begins = white.copy()
+        begins[1:] &= ~white[:-1] | text_start[1:-1]
+        if self.keeps_space:  # white space must be single, and neither first nor last
+            odd |= white & (~begins | text_start[:-1] | text_start[1:])
+        whole = np.zeros(n, bool)
+        where = np.flatnonzero(odd)
+        whole[np.searchsorted(off, where, side="right") - 1] = True
+        lead = np.flatnonzero(_ODD_LEADS[buf])
+        if len(lead):
+            for row in np.unique(np.searchsorted(off, lead, side="right") - 1).tolist():
+                if not whole[row]:
+                    text = buf[off[row] : off[row + 1]].tobytes().decode()
+                    whole[row] = any(c in text for c in _ODD_WIDE)
+        if whole.any():
+            begins &= ~np.repeat(whole, np.diff(off))
+        begins[off[:-1][off[:-1] < len(buf)]] = False
+        inner = np.flatnonzero(begins)
+        cuts = np.sort(np.concatenate((off[:-1], inner)), kind="stable")
+        first = np.arange(n) + np.searchsorted(inner, off[:-1])
+        return np.append(cuts, len(buf)), first
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            need = list(compress(pieces, [x is None for x in found]))
+            if len(self.known) + len(need) > KEPT_WORDS:  # what was known becomes what was known before; words in use stay
+                self.before, self.known, need = self.known, {}, pieces
+            before, fresh = self.before, []
+            for w in need:
+                ids = before.get(w)
+                if ids is None:
+                    fresh.append(w)
+                else:
+                    self.known[w] = ids
+            once = self._learn(fresh)
+            found = [once[w] if w in once else self.known[w] for w in pieces] if once else list(map(self.known.__getitem__, pieces))
+        return found
+
+    def _learn(self, need: list[str]) -> dict[str, bytes]:
+        """Encodes pieces. A plain word and the punctuation after it are looked up apart, as the tokenizers cut there.
+        Returns what is too long to keep."""
         known, before = self.known, self.before
         parts: list[tuple[str, str, str]] = []
-        plain, first, units = [w for w in need if _plain(w)], [], []
-        new = set(plain)
-        for w in need.difference(new):
-            core = w.rstrip(_ENDS)
-            on_line = self.keeps_space and core[:1] == "\n"
-            if _plain(core[1:] if on_line else core):
+        plain, lines, others = [], [], []
+        new: set[str] = set()
+        for w in need:
+            core = w.rstrip(_MARKS)
+            lead, bare = core[:1], core[1:]
+            if lead in " \n" and bare.isalpha() and max(bare) < "ɐ" and "İ" not in bare:
+                if not self.keeps_space:
+                    core = " " + bare
                 if core != w:
-                    parts.append((w, core, w[len(core) :]))
+                    parts.append((w, core, w[1 + len(bare) :]))
                 if core not in known and core not in new:
                     if core in before:
                         known[core] = before[core]
                     else:
                         new.add(core)
-                        (first if on_line else plain).append(core)
+                        (lines if core[0] == "\n" else plain).append(core)
             else:
-                units.append(w)
-        for group in (plain, first):
-            for at in range(0, len(group), 1000):
-                self._learn_plain(group[at : at + 1000], group is first)
+                others.append(w)
+        self._learn_plain(plain, self.edge)
+        self._learn_plain(lines, np.arange(len(self.edge)) == self.line_feed)
         tails = list({t for _, _, t in parts})
-        lead = " " if self.keeps_space else ""
-        names = [w if w[:1] == "\n" else lead + w for w in units]
-        found = self.tokenizer.encode_batch_fast(names + tails, add_special_tokens=False)
-        ids = [self._pack(e.ids) for e in found]
-        known.update(zip(units, ids, strict=False))
-        tail = dict(zip(tails, ids[len(units) :], strict=True))
-        known.update((w, known[core] + tail[t]) for w, core, t in parts)
-
-    def _learn_plain(self, words: list[str], on_line: bool) -> None:
-        """Words of plain letters, all of them at the beginnings of lines or none, encoded as one text."""
-        import numpy
-
-        text = "".join(words) if on_line else " ".join(["", *words] if self.keeps_space else words)
-        ids = numpy.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        at = numpy.flatnonzero(ids == self.line_feed if on_line else self.edge[ids]) * 4
+        batch = self.tokenizer.encode_batch_fast(others + tails, add_special_tokens=False)
+        ids = [np.array(e.ids, "<u4").tobytes() for e in batch]
+        tail = dict(zip(tails, ids[len(others) :], strict=True))
+        known.update([(w, known[core] + tail[t]) for w, core, t in parts])
+        once = {w: x for w, x in zip(others, ids, strict=False) if len(w) > LONGEST_KEPT}
+        known.update([(w, x) for w, x in zip(others, ids, strict=False) if len(w) <= LONGEST_KEPT])
+        return once
+
+    def _learn_plain(self, words: list[str], edge: np.ndarray) -> None:
+        """Words of plain letters with the blank or line feed before them, encoded many in one text; ``edge`` are the
+        tokens that begin, or without blanks end, each of them."""
+        if not words:
+            return
+        texts = ["".join(words[a : a + 128]) for a in range(0, len(words), 128)]
+        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in batch])
+        at = np.flatnonzero(edge[ids]) * 4
         cuts = [*at.tolist(), 4 * len(ids)] if self.keeps_space else [0, *(at + 4).tolist()]
         if len(cuts) != len(words) + 1 or cuts[0] != 0 or cuts[-1] != 4 * len(ids):
             raise RuntimeError("the tokenizer doesn't cut plain words at blanks")
         data = ids.tobytes()
         self.known.update(zip(words, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-
-
-def _plain(word: str) -> bool:
-    """Whether a word is letters that stay one run of letters when lowered, of scripts whose letters don't join."""
-    return word.isalpha() and max(word) < "ɐ" and "İ" not in word

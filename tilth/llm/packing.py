@@ -4,7 +4,8 @@ Documents are cut into windows of 2048 ids and a rest. Lengths are counted in st
 of fixed size. Every combination of one, two or three classes that fills a window is a column; NNLS finds how often
 each should repeat so that the columns add up to the histogram. Repeats are rounded within what is left of each class,
 and the residual is packed greedily, again by class and count, so planning costs the same for any number of pieces.
-Pieces then find their place by their rank in their class, which is counted in 1024 hashed buckets per class.
+Pieces then find their place by their rank in their class, which is counted in hashed buckets, as many as the class needs
+for each to stay small. A sequence is padded to the window, or left as it is where its length is a power of two.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from ._cluster import cut
 from ._text import slices
-from ._tokens import encoder
+from ._tokens import SLICE_BYTES, encoder
 
-WINDOW, STEP, BUCKETS = 2048, 8, 1024
+WINDOW, STEP = 2048, 8
+#: Pieces of a class that one bucket ranks, on average.
+BUCKET_ROWS = 50_000
 
 
 def token_pieces(
@@ -33,29 +36,34 @@ def token_pieces(
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        words = encoder(tokenizer)
         for batch in batches:
-            for part, _, _ in slices(batch, "text"):
-                rows: list[list] = [[] for _ in names]
-                for doc, data in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    data += end
-                    for a in range(0, len(data), 4 * window):
-                        ids = data[a : a + 4 * window]
-                        for col, x in zip(rows, (doc, a // 4, len(ids) // 4, zlib.crc32(ids), len(data) // 4, ids), strict=False):
-                            col.append(x)
-                kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
+            for part, buf, off in slices(batch, "text", SLICE_BYTES):
+                ids, at = words.encode(buf, off, int(end_id))
+                size = np.diff(at)
+                pieces = -(-size // window)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(size[doc] - start, window)
+                cuts = np.append(at[doc] + start, len(ids))
+                data = memoryview(ids).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                cols = [part.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, size[doc]))]
+                if with_ids:
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(ids)]))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def nnls(a: np.ndarray, b: np.ndarray, most: int = 2000) -> np.ndarray:
-    """min |a x - b| over x >= 0 by active sets, on the normal equations."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min |a x - b| over x >= 0 by active sets, on the normal equations. Columns enter at most three times each, on
+    average; should that not do, the last x, which is feasible, is returned."""
     gram_of, target = a.T, a.T @ b
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     tol = 1e-9 * max(1.0, np.abs(target).max(initial=0))
-    for _ in range(most):
+    for _ in range(3 * a.shape[1]):
         grad = target - gram_of @ (a @ x)
         grad[passive] = -np.inf
         j = int(grad.argmax())
@@ -139,22 +147,32 @@ def _intervals(spark: SparkSession, patterns: list[tuple[tuple[int, ...], int]])
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, step: int = STEP) -> DataFrame:
-    """``pieces`` (1 <= length <= window) with sequence_id and offset: each piece in one sequence, sequences of at most
-    ``window`` tokens, offsets gapless from 0. Other columns are carried. The input is read twice; pass a cut table."""
+    """``pieces`` (1 <= length <= window) with sequence_id, offset and padded_to: each piece in one sequence, sequences of
+    at most ``window`` tokens, offsets gapless from 0. padded_to is the sequence's length with its padding: its own where
+    that is a power of two, else ``window``. Other columns are carried, whatever their names; columns of these three names
+    are replaced. Repeated rows are placed one by one. No rows give no rows. The input is read three times; pass a cut table."""
+    made = ("sequence_id", "offset", "padded_to")
+    spread = [F.col(f"_p.{c}") for c in ("doc_id", "start", "ids_crc32", "length") if c in pieces.columns]
     cls = F.ceil(F.col("length") / F.lit(step)).cast("long")
-    spread = [c for c in ("doc_id", "start", "ids_crc32", "length") if c in pieces.columns]
-    placed = pieces.withColumn("_cls", cls).withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.lit(BUCKETS)))
+    histogram = {r["c"]: r["n"] for r in pieces.groupBy(cls.alias("c")).agg(F.count("*").alias("n")).collect()}  # window / step rows at most
+    buckets = F.array(*[F.lit(histogram.get(c, 0) // BUCKET_ROWS + 1) for c in range(window // step + 1)])
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns if c not in made]).alias("_p"), cls.alias("_cls"))
+    placed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*spread), F.get(buckets, F.col("_cls").cast("int"))))
     counts = placed.groupBy("_cls", "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_cls").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     first = counts.select("_cls", "_bucket", F.coalesce(before, F.lit(0)).alias("_first"))
-    histogram = {r["_cls"]: r["n"] for r in counts.groupBy("_cls").agg(F.sum("_n").alias("n")).collect()}  # window / step rows at most
     where = _intervals(pieces.sparkSession, plan(histogram, window // step))
     rank = F.row_number().over(Window.partitionBy("_cls", "_bucket").orderBy(*spread)) - 1
     ranked = placed.withColumn("_r", rank).join(first, ["_cls", "_bucket"]).withColumn("_rank", F.col("_first") + F.col("_r"))
+    # a row for each class of each pattern: bounded by the classes, whatever the number of pieces
     seated = ranked.join(F.broadcast(where), (F.col("_cls") == F.col("cls")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    return seated.withColumn("sequence_id", F.col("seq") + F.col("_rank") - F.col("lo")).select(
-        *pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset")
+    seated = seated.withColumn("_seq", F.col("seq") + F.col("_rank") - F.col("lo")).withColumn("_size", F.col("_p.length"))
+    in_order = Window.partitionBy("_seq").orderBy("slot")
+    offset = F.coalesce(F.sum("_size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum("_size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    padded = F.when(F.bit_count(total) == 1, total).otherwise(F.lit(window).cast("long"))
+    return seated.select("_p", "_seq", offset.alias("_offset"), padded.alias("_padded")).select(
+        "_p.*", F.col("_seq").alias("sequence_id"), F.col("_offset").alias("offset"), F.col("_padded").alias("padded_to")
     )
 
 

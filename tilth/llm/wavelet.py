@@ -1,11 +1,13 @@
 """Token ids in wavelet-matrix files.
 
 A file holds the ids of a run of documents as one bit-plane for each bit of the largest id, highest first; after each
-plane the ids are split stably into zeros and ones. With a count of ones before each 512th bit, ``access``, ``rank``
-and ``select`` take one step a plane, so a token, a count or the nth occurrence comes from the file without decoding it.
+plane the ids are split stably into zeros and ones. With the count of ones before each 512th bit, which the file holds
+too, ``access``, ``rank`` and ``select`` take one step a plane, and read just the chunk of the plane in which the step
+is: a token, a count or the nth occurrence comes from the file (``WaveletFile``) without decoding it.
 
-Layout (little-endian): b"WVM1", u32 length of the JSON head, the head (n, bits, zeros per plane, byte length of each
-section), then sections compressed with zstd: document ids (i64), document lengths (u32), planes (packed bits).
+Layout (little-endian): b"WVM2", u32 length of the JSON head, the head (n, docs, zeros per plane, byte length of each
+section), then sections compressed with zstd: document ids (i64), document lengths (u32), each plane's counts (u32),
+each plane's packed bits in chunks of 8 KiB.
 """
 
 from __future__ import annotations
@@ -22,71 +24,49 @@ from pyspark.sql import functions as F
 
 from ._cluster import cut, parts_for, shared_dir
 from ._text import slices
-from ._tokens import encoder
+from ._tokens import SLICE_BYTES, encoder
 
-MAGIC, BLOCK = b"WVM1", 512
+MAGIC, BLOCK, CHUNK = b"WVM2", 512, 1 << 13
 #: Tokens after which a task starts another file.
 SHARD_TOKENS = 2 << 20
+#: Chunks of planes that an open file keeps at hand.
+KEPT_CHUNKS = 128
 
 
-class WaveletMatrix:
-    """A wavelet matrix over ids of documents, in memory."""
+def _ones_before(plane: np.ndarray) -> np.ndarray:
+    """Ones before each BLOCKth bit of a plane, and in all."""
+    if not len(plane):
+        return np.zeros(1, np.uint32)
+    count = np.bitwise_count(plane).astype(np.uint32)
+    return np.concatenate(([0], np.cumsum(np.add.reduceat(count, np.arange(0, len(plane), BLOCK // 8))))).astype(np.uint32)
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], doc_ids: np.ndarray, lengths: np.ndarray):
-        self.n, self.zeros, self.planes, self.doc_ids, self.lengths = n, zeros, planes, doc_ids, lengths
-        self._ones: list[np.ndarray] | None = None
 
-    @classmethod
-    def build(cls, ids: np.ndarray, doc_ids=(), lengths=()) -> WaveletMatrix:
-        ids = np.asarray(ids, np.uint32)
-        bits = max(1, int(ids.max(initial=0)).bit_length())
-        now, planes, zeros = ids, [], []
-        for shift in range(bits - 1, -1, -1):
-            one = (now >> np.uint32(shift)) & np.uint32(1) != 0
-            planes.append(np.packbits(one, bitorder="little"))
-            low = now[~one]
-            zeros.append(len(low))
-            now = np.concatenate((low, now[one]))
-        return cls(len(ids), zeros, planes, np.asarray(doc_ids, np.int64), np.asarray(lengths, np.uint32))
+class _Steps:
+    """Access, rank and select over bit-planes, given n, zeros, _bytes(level, first, end) and _ranks(level)."""
 
-    def ids(self) -> np.ndarray:
-        """All ids, by undoing the splits from the last plane up."""
-        now = np.zeros(self.n, np.uint32)
-        for level, (zeros, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1], strict=True)):
-            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            up = np.empty(self.n, np.uint32)
-            up[~one] = now[:zeros]
-            up[one] = now[zeros:] | np.uint32(1 << level)
-            now = up
-        return now
-
-    def _ranks(self) -> list[np.ndarray]:
-        if self._ones is None:
-            count = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
-            self._ones = []
-            for p in self.planes:
-                whole = np.add.reduceat(count[p], np.arange(0, len(p), BLOCK // 8)) if len(p) else np.zeros(0, np.int64)
-                self._ones.append(np.concatenate(([0], np.cumsum(whole))))
-        return self._ones
+    n: int
+    zeros: list[int]
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        return int(self._bytes(level, i >> 3, (i >> 3) + 1)[0]) >> (i & 7) & 1
 
     def _rank1(self, level: int, i: int) -> int:
         block = i // BLOCK
-        rest = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (i + 7) >> 3], bitorder="little")[: i - block * BLOCK]
-        return int(self._ranks()[level][block]) + int(rest.sum())
+        rest = np.unpackbits(self._bytes(level, block * (BLOCK // 8), (i + 7) >> 3), bitorder="little")[: i - block * BLOCK]
+        return int(self._ranks(level)[block]) + int(rest.sum())
 
     def _select(self, level: int, k: int, one: bool) -> int:
         """The place of the kth (from 0) one or zero in a plane."""
-        ones = self._ranks()[level]
+        ones = self._ranks(level).astype(np.int64)
         seen = ones if one else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
         block = int(np.searchsorted(seen, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
+        part = np.unpackbits(self._bytes(level, block * (BLOCK // 8), (block + 1) * (BLOCK // 8)), bitorder="little")
         return block * BLOCK + int(np.flatnonzero(part == one)[k - int(seen[block])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
+        if not 0 <= i < self.n:
+            raise IndexError(f"{i} of {self.n} ids")
         value = 0
         for level, zeros in enumerate(self.zeros):
             bit, ones = self._bit(level, i), self._rank1(level, i)
@@ -122,28 +102,120 @@ class WaveletMatrix:
             i = self._select(level, i - self.zeros[level] if one else i, one)
         return i
 
+
+class WaveletMatrix(_Steps):
+    """A wavelet matrix over ids of documents, in memory."""
+
+    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], doc_ids: np.ndarray, lengths: np.ndarray):
+        self.n, self.zeros, self.planes, self.doc_ids, self.lengths = n, zeros, planes, doc_ids, lengths
+        self._counts: dict[int, np.ndarray] = {}
+
+    def _bytes(self, level: int, first: int, end: int) -> np.ndarray:
+        return self.planes[level][first:end]
+
+    def _ranks(self, level: int) -> np.ndarray:
+        if level not in self._counts:
+            self._counts[level] = _ones_before(self.planes[level])
+        return self._counts[level]
+
+    @classmethod
+    def build(cls, ids: np.ndarray, doc_ids=(), lengths=()) -> WaveletMatrix:
+        ids = np.asarray(ids, np.uint32)
+        bits = max(1, int(ids.max(initial=0)).bit_length())
+        now, planes, zeros = ids.astype(np.uint16) if bits <= 16 else ids, [], []
+        for shift in range(bits - 1, -1, -1):
+            one = (now & now.dtype.type(1 << shift)).astype(bool)
+            planes.append(np.packbits(one, bitorder="little"))
+            low = len(now) - int(np.count_nonzero(one))
+            zeros.append(low)
+            split = np.empty_like(now)
+            np.compress(~one, now, out=split[:low])
+            np.compress(one, now, out=split[low:])
+            now = split
+        return cls(len(ids), zeros, planes, np.asarray(doc_ids, np.int64), np.asarray(lengths, np.uint32))
+
+    def ids(self) -> np.ndarray:
+        """All ids, by undoing the splits from the last plane up."""
+        now = np.zeros(self.n, np.uint16 if len(self.zeros) <= 16 else np.uint32)
+        for level, (zeros, plane) in enumerate(zip(self.zeros[::-1], self.planes[::-1], strict=True)):
+            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            up = np.empty_like(now)
+            up[np.flatnonzero(~one)] = now[:zeros]
+            up[np.flatnonzero(one)] = now[zeros:] | now.dtype.type(1 << level)
+            now = up
+        return now.astype(np.uint32)
+
     def to_bytes(self) -> bytes:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
-        parts = [pack(self.doc_ids.astype("<i8").tobytes()), pack(self.lengths.astype("<u4").tobytes()), *(pack(p.tobytes()) for p in self.planes)]
+        parts = [pack(self.doc_ids.astype("<i8").tobytes()), pack(self.lengths.astype("<u4").tobytes())]
+        parts += [pack(self._ranks(level).astype("<u4").tobytes()) for level in range(len(self.planes))]
+        parts += [pack(p[a : a + CHUNK].tobytes()) for p in self.planes for a in range(0, len(p), CHUNK)]
         head = json.dumps({"n": self.n, "docs": len(self.doc_ids), "zeros": self.zeros, "sections": [len(p) for p in parts]}).encode()
         return b"".join((MAGIC, len(head).to_bytes(4, "little"), head, *parts))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
-        import zstandard
+        """All of a file at once."""
+        import io
+
+        file = WaveletFile(io.BytesIO(data))
+        size = (file.n + 7) // 8
+        return cls(file.n, file.zeros, [file.plane(level, size) for level in range(len(file.zeros))], file.doc_ids(), file.lengths())
 
-        if data[:4] != MAGIC:
+
+class WaveletFile(_Steps):
+    """A wavelet matrix in an open file (with seek and read), of which only what is asked for is read."""
+
+    def __init__(self, file):
+        self._file = file
+        start = self._read(0, 8)
+        if start[:4] != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        at = 8 + int.from_bytes(data[4:8], "little")
-        head = json.loads(data[8:at])
-        open_, parts = zstandard.ZstdDecompressor(), []
-        for size in head["sections"]:
-            parts.append(open_.decompress(data[at : at + size], max_output_size=max(64, 8 * head["docs"], head["n"] // 8 + 8)))
-            at += size
-        planes = [np.frombuffer(p, np.uint8) for p in parts[2:]]
-        return cls(head["n"], head["zeros"], planes, np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4"))
+        size = int.from_bytes(start[4:], "little")
+        head = json.loads(self._read(8, size))
+        self.n, self.docs, self.zeros, self._sizes = head["n"], head["docs"], head["zeros"], head["sections"]
+        self._at = np.concatenate(([8 + size], 8 + size + np.cumsum(self._sizes, dtype=np.int64))).tolist()
+        self._chunks = -(-((self.n + 7) // 8) // CHUNK)
+        self._counts: dict[int, np.ndarray] = {}
+        self._held: dict[int, np.ndarray] = {}
+
+    def _read(self, at: int, size: int) -> bytes:
+        self._file.seek(at)
+        return self._file.read(size)
+
+    def _section(self, k: int, most: int) -> bytes:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(self._read(self._at[k], self._sizes[k]), max_output_size=most + 64)
+
+    def doc_ids(self) -> np.ndarray:
+        return np.frombuffer(self._section(0, 8 * self.docs), "<i8")
+
+    def lengths(self) -> np.ndarray:
+        return np.frombuffer(self._section(1, 4 * self.docs), "<u4")
+
+    def plane(self, level: int, size: int) -> np.ndarray:
+        first = 2 + len(self.zeros) + level * self._chunks
+        return np.frombuffer(b"".join(self._section(k, CHUNK) for k in range(first, first + self._chunks)), np.uint8)[:size]
+
+    def _ranks(self, level: int) -> np.ndarray:
+        if level not in self._counts:
+            self._counts[level] = np.frombuffer(self._section(2 + level, 4 * (self.n // BLOCK + 2)), "<u4")
+        return self._counts[level]
+
+    def _bytes(self, level: int, first: int, end: int) -> np.ndarray:
+        # a block of bits lies within one chunk
+        k = 2 + len(self.zeros) + level * self._chunks + min(first // CHUNK, self._chunks - 1)
+        if first // CHUNK >= self._chunks:
+            return np.zeros(0, np.uint8)
+        if k not in self._held:
+            if len(self._held) >= KEPT_CHUNKS:
+                self._held.pop(next(iter(self._held)))
+            self._held[k] = np.frombuffer(self._section(k, CHUNK), np.uint8)
+        low = first // CHUNK * CHUNK
+        return self._held[k][first - low : end - low]
 
 
 def _filesystem(uri: str):
@@ -166,34 +238,35 @@ def write_files(
     n = parts_for(kept, F.octet_length("text"), 24 << 20)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end, part = encoder(tokenizer), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer), TaskContext.get().partitionId()
         store, root = _filesystem(folder)
         store.create_dir(root, recursive=True)
         rows: list[tuple] = []
-        held: list[bytes] = []
-        doc_ids: list[int] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # ids, doc ids and lengths
         tokens = 0
 
         def flush() -> None:
             nonlocal tokens
-            if doc_ids:
-                ids = np.frombuffer(b"".join(held), "<u4")
+            if held:
+                ids, doc_ids, lengths = (np.concatenate(x) for x in zip(*held, strict=True))
                 name = f"part-{part:06d}-{len(rows):05d}.wvm"
                 part_name = f"{root}/.{name}-{uuid.uuid4().hex}"
                 with store.open_output_stream(part_name) as out:
-                    out.write(WaveletMatrix.build(ids, doc_ids, [len(b) // 4 for b in held]).to_bytes())
+                    out.write(WaveletMatrix.build(ids, doc_ids, lengths).to_bytes())
                 store.move(part_name, f"{root}/{name}")
                 rows.append((f"{root}/{name}", part, len(rows), len(ids), len(doc_ids)))
                 held.clear()
-                doc_ids.clear()
                 tokens = 0
 
         for batch in batches:
-            for piece, _, _ in slices(batch, "text"):
-                for doc, data in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
-                    held.append(data + end)
-                    doc_ids.append(doc)
-                    tokens += len(data) // 4 + 1
+            for piece, buf, off in slices(batch, "text", SLICE_BYTES):
+                ids, at = words.encode(buf, off, int(end_id))
+                doc_ids, a = piece.column(0).to_numpy(zero_copy_only=False), 0
+                while a < len(doc_ids):  # up to the document that fills the file
+                    b = min(int(np.searchsorted(at, at[a] + shard_tokens - tokens)), len(doc_ids))
+                    held.append((ids[at[a] : at[b]], doc_ids[a:b], np.diff(at[a : b + 1])))
+                    tokens += int(at[b] - at[a])
+                    a = b
                     if tokens >= shard_tokens:
                         flush()
         flush()
@@ -219,8 +292,8 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(file) as f:
                     matrix = WaveletMatrix.from_bytes(f.read())
-                data, at = matrix.ids().astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(matrix.lengths, dtype=np.int64)))
-                ids = pa.array([data[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+                at = np.concatenate(([0], np.cumsum(matrix.lengths, dtype=np.int64)))
+                ids = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(matrix.ids().astype("<u4"))])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(matrix.doc_ids), pa.array(at[:-1] + base), pa.array(matrix.lengths.astype(np.int64)), ids],
                     ["doc_id", "start", "n_tokens", "ids"],
