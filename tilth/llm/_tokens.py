@@ -2,26 +2,36 @@
 
 Both tokenizers cut a text at white space before merging, so a word's ids don't depend on its neighbours, and a worker
 keeps the ids of words it has met lately (two tables of bounded size). The texts of a slice are cut where white space
-begins, their distinct pieces are looked up, and the ids are gathered for all texts at once. New words of plain letters
-are encoded many in one text, whose ids are cut where a word begins or ends. A text with white space where all this
-doesn't hold is one piece of its own and encoded whole.
+begins, and where punctuation follows a letter up to the next white space; their distinct pieces are looked up, and the
+ids are gathered for all texts at once. New words of plain letters are encoded many in one text, whose ids are cut where
+a word begins or ends. A text with white space where all this doesn't hold is one piece of its own and encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 
+from ._text import LOWER
+
 #: Pieces in each of a worker's two tables; one takes about 220 bytes.
 KEPT_WORDS = 700_000
 #: Bytes of text handled at once; a single longer text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Longer pieces (whole texts) are not kept.
 LONGEST_KEPT = 200
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARK_BYTES = np.zeros(256, bool)
+_MARK_BYTES[list(_MARKS.encode())] = True
+_LETTER_BYTES = np.zeros(256, bool)
+_LETTER_BYTES[[*range(65, 91), *range(97, 123)]] = True
+#: Second bytes, after 0xC3, of Latin letters (À to ÿ but × and ÷).
+_LATIN_BYTES = np.zeros(256, bool)
+_LATIN_BYTES[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
 _ODD_BYTES = np.zeros(256, bool)
 _ODD_BYTES[[9, 11, 12, 13, 28, 29, 30, 31]] = True
 _WHITE_BYTES = np.zeros(256, bool)
@@ -53,6 +63,7 @@ class WordEncoder:
         first = self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.keeps_space = len(first) == 3
         self.line_feed = first[1]
+        self.folds = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         # tokens that begin a word after a blank, or else that end a word
         self.edge = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         blank = self.tokenizer.id_to_token(self.tokenizer.encode(" a", add_special_tokens=False).ids[0])[0]
@@ -62,11 +73,19 @@ class WordEncoder:
     def encode(self, buf: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (u4) of all texts of a slice, given as flat() gives it, end to end, and len + 1 offsets into them; with
         ``end_id``, each text's ids end with it."""
+        if self.folds:
+            buf = LOWER[buf]
         cuts, first = self._pieces(buf, off)
         pieces = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf)))
         coded = pieces.dictionary_encode()
         distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        ids = self._ids(distinct)
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is part of a cycle, and the tables are large
+        try:
+            ids = self._ids(distinct)
+        finally:
+            if collects:
+                gc.enable()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         flat_ids = np.frombuffer(b"".join(ids), "<u4")
         starts = np.cumsum(sizes) - sizes
@@ -80,8 +99,10 @@ class WordEncoder:
             source = starts[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        out = flat_ids[np.repeat(source - ends + size, size) + np.arange(total)] if total else np.zeros(0, "<u4")
-        return out.astype("<u4", copy=False), np.append(ends[first] - size[first], total) if len(first) else np.zeros(1, np.int64)
+        kind = np.int32 if total < 1 << 31 and len(flat_ids) < 1 << 31 else np.int64
+        place = np.repeat((source - ends + size).astype(kind), size)
+        place += np.arange(total, dtype=kind)
+        return flat_ids[place].astype("<u4", copy=False), np.append(ends[first] - size[first], total) if len(first) else np.zeros(1, np.int64)
 
     def _pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of the pieces, each with the white space before it, and each text's first piece. Every text has one
@@ -106,6 +127,14 @@ class WordEncoder:
                 if not whole[row]:
                     text = buf[off[row] : off[row + 1]].tobytes().decode()
                     whole[row] = any(c in text for c in _ODD_WIDE)
+        mark = np.flatnonzero(_MARK_BYTES[buf])
+        if len(mark):
+            # of each run of marks: its first, and whether white space or the text's end follows
+            run = np.flatnonzero(np.concatenate(([True], (np.diff(mark) != 1) | text_start[mark[1:]])))
+            start, end = mark[run], mark[np.append(run[1:], len(mark)) - 1] + 1
+            letter = _LETTER_BYTES[buf[start - 1]] | (buf[start - 2] == 0xC3) & _LATIN_BYTES[buf[start - 1]]
+            last = text_start[end] | white[np.minimum(end, len(buf) - 1)]
+            begins[start[letter & last & ~text_start[start] & (start > 1)]] = True
         if whole.any():
             begins &= ~np.repeat(whole, np.diff(off))
         begins[off[:-1][off[:-1] < len(buf)]] = False
@@ -140,9 +169,12 @@ class WordEncoder:
         plain, lines, others = [], [], []
         new: set[str] = set()
         for w in need:
-            core = w.rstrip(_MARKS)
+            if w[1:].isalpha() and w[0] in " \n":
+                core = w
+            else:
+                core = w.rstrip(_MARKS)
             lead, bare = core[:1], core[1:]
-            if lead in " \n" and bare.isalpha() and max(bare) < "ɐ" and "İ" not in bare:
+            if lead in " \n" and bare.isalpha() and (bare.isascii() or (max(bare) < "ɐ" and "İ" not in bare)):
                 if not self.keeps_space:
                     core = " " + bare
                 if core != w:

@@ -24,7 +24,7 @@ from ._tokens import SLICE_BYTES, encoder
 
 WINDOW, STEP = 2048, 8
 #: Pieces of a class that one bucket ranks, on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4000
 
 
 def token_pieces(
