@@ -19,9 +19,9 @@ import pyarrow as pa
 from ._text import LOWER
 
 #: Pieces in each of a worker's two tables; one takes about 220 bytes.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 350_000
 #: Bytes of text handled at once; a single longer text is still taken whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Longer pieces (whole texts) are not kept.
 LONGEST_KEPT = 200
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
