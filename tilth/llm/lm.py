@@ -6,16 +6,21 @@ word, its failure arc leads to the shorter context at the cost of the context's
 from left to right, carrying the state and adding up log-probabilities.
 
 No machine holds the whole automaton. Documents are dealt into blocks of bounded text size. Each block counts its own
-n-grams and sends each, once, as a hash to one of many shards; the shards add the counts up and answer every block with
-the training counts of just the n-grams it holds, which are all the arcs and states its texts can meet. A frequent
-n-gram is one entry a block, so no shard is hot. Everything grows in proportion to the input.
-
-N-grams are identified by 64-bit hashes, of which shards compare 40 bits (the rest picks the shard); shards hold a
-bounded number of n-grams, so the chance of a clash for any one stays below 1e-5 at every size.
+n-grams and sends each, once, as a hash, towards one of many shards, which add the counts up and answer with the training
+counts of just the n-grams asked for, which are all the arcs and states the block's texts can meet. Requests are routed
+as in a radix sort: a block writes at most FAN messages, by the first digit of the hash; nodes merge the messages of at
+most FAN blocks (adding up what they share) and write at most FAN messages by the next digit, until the messages of all
+blocks for one range of hashes meet in a shard. Answers go the same way back. So a block costs the same number of messages
+a hop whatever the number of blocks, and there are log_FAN(blocks) hops: one up to FAN blocks. A frequent n-gram is one
+entry a message, so no shard is hot.
+
+N-grams are identified by 64-bit hashes, of which 40 bits beside the first digit travel over one hop, 48 over two and all
+beyond. In a shard they tell a bounded number of n-grams apart, so the chance of a clash for any one stays below 1e-5.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -28,11 +33,13 @@ from ._cluster import parts_for
 from ._text import flat, mix, runs, words
 
 BLOCK_BYTES = 8 << 20
+#: Messages that a block or node writes, and that a node merges, at most.
+FAN = 256
 #: Weight, in observations, of the shorter context's distribution at orders 2 and 3.
 WEIGHTS = (8.0, 4.0)
 _U = np.uint64
 _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
-_FACTOR, _LOCAL = _U(0x2545F4914F6CDD1D), _U((1 << 40) - 1)
+_FACTOR = _U(0x2545F4914F6CDD1D)
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
@@ -52,10 +59,65 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+class Routes:
+    """How the messages of ``blocks`` blocks are routed: over ``hops`` hops with ``fan`` digits each."""
+
+    def __init__(self, blocks: int, most: int):
+        self.hops = 1
+        while most**self.hops < blocks:
+            self.hops += 1
+        self.fan = max(1, math.ceil(blocks ** (1 / self.hops) - 1e-9))
+        while self.fan**self.hops < blocks:
+            self.fan += 1
+        self.width = min(8, 4 + self.hops) if self.hops < 3 else 8
+        self.mask = _U((1 << 8 * self.width) - 1)
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """The first digit of whole hashes."""
+        return (keys >> _U(40)) % _U(self.fan)
+
+    def digit(self, local: np.ndarray, hop: int) -> np.ndarray:
+        """The digit that leads to ``hop`` (from 2), of what travels of the hashes."""
+        return (mix(local) >> _U(8)) // _U(self.fan ** (hop - 2)) % _U(self.fan)
+
+    def messages(self, local: np.ndarray, counts: np.ndarray, digit: np.ndarray, order: int) -> Iterator[tuple[int, bytes, bytes]]:
+        """(digit, keys, counts) of n-grams in order of digit and key: hashes as differences. Every digit has a message at
+        order 0, as every one tells its part of the totals."""
+        cuts = np.searchsorted(digit, np.arange(self.fan + 1))
+        for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if b > a or order == 0:
+                yield d, _packed(np.diff(local[a:b], prepend=_U(0)), self.width), _packed(counts[a:b], 5)
+
+
+class _Merged:
+    """What a node's messages of one order ask: the distinct keys, their counts added up, and each message's places."""
+
+    def __init__(self, table: pa.Table, routes: Routes):
+        parts = [np.cumsum(_unpacked(k, routes.width), dtype=_U) for k in table.column("keys").to_pylist()]
+        self.cuts = np.cumsum([0, *map(len, parts)]).tolist()
+        keys = np.concatenate(parts)
+        counts = np.concatenate([_unpacked(c, 5) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        by = np.argsort(keys, kind="stable")
+        new = np.ones(len(by), bool)
+        new[1:] = keys[by][1:] != keys[by][:-1]
+        self.keys = keys[by][new]
+        self.sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(by) else counts
+        self.at = np.empty(len(by), np.int64)
+        self.at[by] = np.cumsum(new) - 1
+
+    def answers(self, table: pa.Table, totals: np.ndarray, stats: tuple[int, int, int]) -> pa.RecordBatch:
+        """``totals`` of the distinct keys, for each message in its own order."""
+        each = totals[self.at] if len(self.at) else self.at
+        back = [_packed(each[a:b], 5) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        cols = [table.column(c).combine_chunks() for c in ("node", "child", "order")]
+        cols += [pa.array(back, pa.binary()), *(pa.array([x] * table.num_rows, pa.int64()) for x in stats)]
+        return pa.RecordBatch.from_arrays(cols, ["node", "child", "order", "totals", "tokens", "types", "once"])
+
+
 class _Block:
     """The n-grams of a block of texts, each order's distinct ones in one order that depends on nothing else."""
 
-    def __init__(self, table: pa.Table, shards: int):
+    def __init__(self, table: pa.Table, routes: Routes):
         buf, off = flat(table.column("text"))
         _, _, row, h = words(buf, off)
         n = table.num_rows
@@ -95,22 +157,14 @@ class _Block:
             self.counts.append(np.bincount(at[places][learn[places]], minlength=size))
             context = at
             have = have & np.concatenate(([False], have[:-1])) if order else token
-        self.shards = shards
-        self.order = [np.lexsort((k & _LOCAL, self.shard_of(k))) for k in self.keys]
-
-    def shard_of(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> _U(40)) % _U(self.shards)
+        self.routes = routes
+        self.order = [np.lexsort((k & routes.mask, routes.first(k))) for k in self.keys]
 
-    def requests(self, block: int) -> Iterator[tuple]:
-        """(shard, order, block, keys, counts): hashes, as differences of the sorted ones, and counts for each shard;
-        order 0 goes to every shard."""
+    def requests(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(order, first digit, keys, counts)."""
         for order, (keys, counts, by) in enumerate(zip(self.keys, self.counts, self.order, strict=True)):
-            keys, counts = keys[by], counts[by]
-            cuts = np.searchsorted(self.shard_of(keys), np.arange(self.shards + 1))
-            local = keys & _LOCAL
-            for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-                if b > a or order == 0:
-                    yield s, order, block, _packed(np.diff(local[a:b], prepend=_U(0)), 5), _packed(counts[a:b], 4)
+            for d, k, c in self.routes.messages(keys[by] & self.routes.mask, counts[by], self.routes.first(keys[by]), order):
+                yield order, d, k, c
 
     def answered(self, order: int, totals: np.ndarray) -> np.ndarray:
         by = self.order[order]
@@ -121,32 +175,66 @@ class _Block:
         return out
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up each shard's counts and answers every block that asked, in the order in which it asked."""
-    for table in runs(batches, ["shard", "order"]):
-        parts = [np.cumsum(_unpacked(k, 5), dtype=_U) for k in table.column("keys").to_pylist()]
-        cuts = np.cumsum([0, *map(len, parts)]).tolist()
-        keys = np.concatenate(parts)
-        counts = np.concatenate([_unpacked(c, 4) for c in table.column("counts").to_pylist()]).astype(np.int64)
-        by = np.argsort(keys, kind="stable")
-        new = np.ones(len(by), bool)
-        new[1:] = keys[by][1:] != keys[by][:-1]
-        sums = np.add.reduceat(counts[by], np.flatnonzero(new)) if len(by) else counts
-        totals = np.empty(len(by), np.int64)
-        totals[by] = sums[np.cumsum(new) - 1] if len(by) else 0
-        n = table.num_rows
-        first = table.column("order")[0].as_py() == 0
-        stats = (int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum())) if first else (0, 0, 0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                table.column("block").combine_chunks(),
-                table.column("order").combine_chunks(),
-                table.column("shard").combine_chunks(),
-                pa.array([_packed(totals[a:b], 5) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                *(pa.array([x] * n, pa.int64()) for x in stats),
-            ],
-            ["block", "order", "shard", "totals", "tokens", "types", "once"],
-        )
+_ASKED, _ANSWERED = "node long, child long, order long, keys binary, counts binary", "node long, child long, order long, totals binary, tokens long, types long, once long"
+
+
+def _asked(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    while part := list(islice(rows, 256)):
+        cols = [pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(cols, ["node", "child", "order", "keys", "counts"])
+
+
+def _totals(asked: DataFrame, n: int, routes: Routes, hop: int = 1) -> DataFrame:
+    """Answers (node, child, order, totals, tokens, types, once) to messages (node, child, order, keys, counts): the
+    counts of their keys over all messages of a node, and the node's share in the corpus totals."""
+    fan = routes.fan
+
+    if hop == routes.hops:
+
+        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in runs(batches, ["node", "order"]):
+                merged = _Merged(table, routes)
+                words = table.column("order")[0].as_py() == 0
+                stats = (int(merged.sums.sum()), int((merged.sums > 0).sum()), int((merged.sums == 1).sum())) if words else (0, 0, 0)
+                yield merged.answers(table, merged.sums, stats)
+
+        return asked.repartition(n, "node").sortWithinPartitions("node", "order").mapInArrow(settle, _ANSWERED)
+
+    grouped = asked.withColumn("above", F.floor(F.col("child") / F.lit(fan)).cast("long")).repartition(n, "node", "above")
+
+    def passed_on(merged: _Merged) -> tuple[np.ndarray, np.ndarray]:
+        digit = routes.digit(merged.keys, hop + 1)
+        by = np.lexsort((merged.keys, digit))
+        return by, digit[by]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for table in runs(batches, ["node", "above", "order"]):
+                node, above, order = (table.column(c)[0].as_py() for c in ("node", "above", "order"))
+                merged = _Merged(table, routes)
+                by, digit = passed_on(merged)
+                for d, k, c in routes.messages(merged.keys[by], merged.sums[by], digit, order):
+                    yield node * fan + d, above, order, k, c
+
+        yield from _asked(rows())
+
+    def deal(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What came back to a node, dealt to those who asked it."""
+        out, asked_order, back_order = [], left.column("order").to_numpy(), right.column("order").to_numpy()
+        for order in np.unique(asked_order).tolist():
+            table = left.take(np.flatnonzero(asked_order == order))
+            merged = _Merged(table, routes)
+            answers = right.take(np.flatnonzero(back_order == order)).sort_by("node")
+            by, _ = passed_on(merged)
+            totals = np.empty(len(by), np.int64)
+            totals[by] = np.concatenate([_unpacked(t, 5) for t in answers.column("totals").to_pylist()]) if len(by) else 0
+            out.append(merged.answers(table, totals, tuple(int(answers.column(c).to_numpy().sum()) for c in ("tokens", "types", "once"))))
+        return pa.Table.from_batches(out)
+
+    above = _totals(grouped.sortWithinPartitions("node", "above", "order").mapInArrow(merge, _ASKED), n, routes, hop + 1)
+    back = above.withColumn("below", F.floor(F.col("node") / F.lit(fan)).cast("long")).repartition(n, "below", "child")
+    return grouped.groupBy("node", "above").cogroup(back.groupBy("below", "child")).applyInArrow(deal, _ANSWERED)
 
 
 def traverse(block: _Block, counts: list[np.ndarray], tokens: int, once: int, n_texts: int, weights=WEIGHTS) -> np.ndarray:
@@ -206,7 +294,7 @@ def traverse(block: _Block, counts: list[np.ndarray], tokens: int, once: int, n_
     return out
 
 
-def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """(doc_id, learned, n_tokens, n_known, train_tokens, base_score, score) for each input row.
 
     ``learn`` is a column expression: whether to learn from the row (null: not). Tokens are the words
@@ -215,6 +303,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     rows are learned as often as they stand; other columns are ignored; an empty table gives no rows.
     """
     n = parts_for(docs, F.octet_length(F.col(text_col)), block_bytes)
+    routes = Routes(n, fan)
     dealt = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
@@ -224,15 +313,12 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["block"]):
-            rows = _Block(table, n).requests(table.column("block")[0].as_py())
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            while part := list(islice(rows, 256)):
-                cols = [pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, ["shard", "order", "block", "keys", "counts"])
+            block = table.column("block")[0].as_py()
+            yield from _asked((d, block, order, k, c) for order, d, k, c in _Block(table, routes).requests())
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _Block(left, n)
-        right = right.sort_by([("order", "ascending"), ("shard", "ascending")])
+        block = _Block(left, routes)
+        right = right.sort_by([("order", "ascending"), ("node", "ascending")])
         order = right.column("order").to_numpy()
         cuts = np.searchsorted(order, np.arange(4)).tolist()
         counts = []
@@ -261,13 +347,8 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
             }
         )
 
-    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, "shard long, order long, block long, keys binary, counts binary")
-    answers = (
-        asked.repartition(n, "shard")
-        .sortWithinPartitions("shard", "order")
-        .mapInArrow(_answers, "block long, order long, shard long, totals binary, tokens long, types long, once long")
-        .repartition(n, "block")
-    )
+    asked = dealt.sortWithinPartitions("block").mapInArrow(ask, _ASKED)
+    answers = _totals(asked, n, routes).withColumnRenamed("child", "block").repartition(n, "block")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         answer,
         "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
