@@ -24,9 +24,9 @@ def test_too_few_rows_for_folds():
 
 
 def test_vintage_lag():
-    assert [features.vintage_lag_days(h) for h in (1, 24, 25, 48)] == [1, 1, 2, 2]
+    assert [features.freshest_age(h) for h in (1, 24, 25, 48)] == [1, 1, 2, 2]
     with pytest.raises(ValueError):
-        features.vintage_lag_days(0)
+        features.freshest_age(0)
 
 
 def test_crps_of_a_gaussian_matches_its_sample():

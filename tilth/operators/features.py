@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +39,20 @@ def lead_time_features(frame: DataFrame, horizons: tuple[int, ...], columns: tup
     return frame.select("*", *[forward_sum(F.col(c) / 24, h, key).alias(f"{c}_next_{h}h") for c in columns for h in horizons])
 
 
-def vintage_lag_days(horizon_h: int) -> int:
-    """Age of the freshest forecast that was out ``horizon_h`` before the hours it speaks of, in days."""
-    if horizon_h <= 0:
-        raise ValueError("horizon must be positive")
-    return math.ceil(horizon_h / 24)
+def freshest_age(lead_h: int) -> int:
+    """Whole days by which a forecast must be older than the hours it speaks of, to be out ``lead_h`` hours before them."""
+    days, rest = divmod(lead_h, 24)
+    if lead_h < 1:
+        raise ValueError(f"a lead of {lead_h} hours looks back")
+    return days + (rest > 0)
 
 
 def vintage_features(frame: DataFrame, horizons: tuple[int, ...], columns: tuple[str, ...] = ("precip_mm", "et0_mm"), key: str = "device") -> DataFrame:
     """Lead-time sums from hourly archived forecasts in columns ``<name>_prev<days>``, never fresher than causal."""
-    need = {f"{c}_prev{vintage_lag_days(h)}" for c in columns for h in horizons}
+    need = {f"{c}_prev{freshest_age(h)}" for c in columns for h in horizons}
     if missing := sorted(need - set(frame.columns)):
         raise ValueError(f"forecast columns are missing: {', '.join(missing)}")
-    return frame.select("*", *[forward_sum(F.col(f"{c}_prev{vintage_lag_days(h)}"), h, key).alias(f"{c}_next_{h}h") for c in columns for h in horizons])
+    return frame.select("*", *[forward_sum(F.col(f"{c}_prev{freshest_age(h)}"), h, key).alias(f"{c}_next_{h}h") for c in columns for h in horizons])
 
 
 def attach_weather(frame: DataFrame, daily: DataFrame, columns: tuple[str, ...], base: float = 10.0, key: str = "device") -> DataFrame:

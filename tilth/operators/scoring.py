@@ -15,6 +15,21 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
 
 
+def guarded(a: Column, b: Column, least: float = 1e-12) -> Column:
+    """a / b, null where b is next to nothing."""
+    return F.when(F.abs(b) >= least, a / b)
+
+
+def finite(c: Column) -> Column:
+    """c where it is a finite number, else null."""
+    return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+
+
+def weighted_mean(x: Column, w: Column) -> Column:
+    """Mean of the present values by weight; null without any."""
+    return F.sum(x * w) / F.sum(F.when(x.isNotNull(), w))
+
+
 def mae(y: str = "y", p: str = "p") -> Column:
     return F.avg(F.abs(F.col(y) - F.col(p)))
 

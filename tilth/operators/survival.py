@@ -72,3 +72,10 @@ def clock_survival(mu: Column, drop: float, h: Column) -> Column:
 def quantile_time(surv: DataFrame, q: float, key: str = "device") -> DataFrame:
     """(key, hours): first hour with 1 - S >= q, null if beyond the window."""
     return surv.groupBy(key).agg(F.min(F.when(1 - F.col("s") >= q, F.col("h"))).alias("hours"))
+
+
+def hazard_columns(period: Column, hour: Column, edges: tuple[int, ...] = (3, 6, 12, 24)) -> dict[str, Column]:
+    """Design of the hourly hazard: a dummy for each band of periods (upper edges included) and the hour's cycle."""
+    lows, angle = (0, *edges), 2 * F.pi() * hour / 24
+    bands = {f"band_{i}": ((period > lo) & (period <= hi if hi else F.lit(True))).cast("int") for i, (lo, hi) in enumerate(zip(lows, (*edges, None), strict=True))}
+    return bands | {"hour_sin": F.sin(angle), "hour_cos": F.cos(angle)}
