@@ -84,7 +84,12 @@ def gaussian_increments(mu: float, sigma: float, points: int = N_POINTS):
 
 def filtered_increments(z_pool, mu: float, sigma: float, points: int = N_POINTS):
     """A standardized pool's shape, brought to mean 0 and (population) deviation 1, then to mu and sigma."""
-    z = discretized(z_pool, points)
+    return brought_to(discretized(z_pool, points), mu, sigma)
+
+
+def brought_to(points, mu: float, sigma: float):
+    """Points moved and scaled to mean mu and (population) deviation sigma; none if they don't differ."""
+    z = np.asarray(points, float)
     return mu + sigma * (z - z.mean()) / z.std() if len(z) and z.std() > 0 else np.zeros(0)
 
 
@@ -107,7 +112,7 @@ def level_grid(low: float, span: float, increments):
     return np.linspace(low, low + span, int(np.clip(math.ceil(span / step) + 1, 200, 6000)))
 
 
-def _mean_after(grid, value, increments, threshold, below: float):
+def mean_after(grid, value, increments, threshold, below: float):
     """Mean of the value one increment on, ``below`` once under the threshold; beyond the grid as at its end."""
     to = grid[:, None] + np.asarray(increments)[None, :]
     return np.where(to < threshold, below, np.interp(to, grid, value)).mean(1)
@@ -121,7 +126,7 @@ def crossing_curve(increments, threshold: float, hours: int, span: float | None
     grid = level_grid(threshold, reach, inc)
     p, rows = np.zeros(len(grid)), []
     for _ in range(hours):
-        p = _mean_after(grid, p, inc, threshold, 1.0)
+        p = mean_after(grid, p, inc, threshold, 1.0)
         rows.append(p)
     return grid, (np.array(rows) if each else p)
 
@@ -141,11 +146,11 @@ def exercise_boundary(increments, threshold: float, hours: int, cost: float, hig
     grid = level_grid(threshold, high - threshold, inc)
     risk = np.zeros(len(grid))
     for _ in range(delay):
-        risk = _mean_after(grid, risk, inc, threshold, 1.0)
+        risk = mean_after(grid, risk, inc, threshold, 1.0)
     value, bounds = np.zeros(len(grid)), np.full(hours, np.nan)
     act = cost + (1 - cost) * risk if delay else np.full(len(grid), cost)
     for t in range(hours - 1, -1, -1):
-        wait = _mean_after(grid, value, inc, threshold, 1.0)
+        wait = mean_after(grid, value, inc, threshold, 1.0)
         better = act < wait
         if better.any():
             k = int(np.flatnonzero(better)[-1])
@@ -160,6 +165,54 @@ def exercise_boundary(increments, threshold: float, hours: int, cost: float, hig
     return bounds
 
 
+def product_limit(time, event, hours: int):
+    """S(1..hours) of the event; ones without rows."""
+    time, event = np.asarray(time), np.asarray(event, bool)
+    steps = np.arange(1, hours + 1)
+    risk = (time[None, :] >= steps[:, None]).sum(1)
+    gone = ((time[None, :] == steps[:, None]) & event[None, :]).sum(1)
+    return np.cumprod(1 - np.divide(gone, risk, out=np.zeros(hours), where=risk > 0))
+
+
+def censoring_curve(time, event, hours: int):
+    """G(0..hours) of the censoring; who lasts longer than ``hours`` isn't censored."""
+    return np.concatenate(([1.0], product_limit(time, ~np.asarray(event, bool), hours)))
+
+
+def censored_brier(time, event, surv, g):
+    """Brier score of survival curves (a row each) at every hour, weighted by the censoring curve just before an event or
+    at the hour for those still there, floored at 1e-6; the divisor is all rows."""
+    time, event, surv = np.asarray(time), np.asarray(event, bool), np.asarray(surv, float)
+    hours = np.arange(1, surv.shape[1] + 1)
+    g = np.maximum(g, 1e-6)
+    died = event[:, None] & (time[:, None] <= hours[None, :])
+    alive = time[:, None] > hours[None, :]
+    at_event = 1 / g[np.clip(time - 1, 0, len(g) - 1)]
+    return (np.where(died, surv**2 * at_event[:, None], 0) + np.where(alive, (1 - surv) ** 2 / g[hours][None, :], 0)).mean(0)
+
+
+def drift_buckets(m, n: int):
+    """(class, medians): equal-count classes by quantile edges; equal goes up, equal edges count once."""
+    m = np.asarray(m, float)
+    edges = np.unique(np.quantile(m, np.arange(1, n) / n))
+    at = np.searchsorted(edges, m, side="right")
+    present, at = np.unique(at, return_inverse=True)
+    return at, [float(np.median(m[at == b])) for b in range(len(present))]
+
+
+def person_periods(time, event, hours: int):
+    """(row, period, died) for each hour at risk."""
+    upto = np.minimum(time, hours)
+    row = np.repeat(np.arange(len(upto)), upto)
+    period = np.arange(len(row)) - np.repeat(np.cumsum(upto) - upto, upto) + 1
+    return row, period, np.asarray(event, bool)[row] & (period == np.asarray(time)[row])
+
+
+@F.pandas_udf(DoubleType())
+def log_ndtr_udf(x: pd.Series) -> pd.Series:
+    return pd.Series(log_ndtr(x)).where(x.notna(), None)
+
+
 @F.pandas_udf(DoubleType())
 def ndtr_udf(x: pd.Series) -> pd.Series:
     return pd.Series(ndtr(x)).where(x.notna(), None)

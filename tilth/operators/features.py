@@ -71,13 +71,22 @@ def attach_weather(frame: DataFrame, daily: DataFrame, columns: tuple[str, ...],
     return both.select(*[c for c in frame.columns], "_own", *filled).where("_own").drop("_own")
 
 
-def ewma_frame(frame: DataFrame, column: str, out: str, halflife: float, least: int = 24, key: str = "device", order: str = "ts") -> DataFrame:
+def ewma_frame(frame: DataFrame, column: str, out: str, halflife: float, least: int = 24, key: str | list[str] = "device", order: str = "ts", block: int = 400) -> DataFrame:
     """``frame`` with ``out``, the exponentially weighted mean of ``column`` up to each row: weights halve every ``halflife``
-    observed values, missing ones carry the mean on, and it is null before ``least`` values. Good for some 1000
-    halflives, after which the weights overflow."""
-    run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = frame.withColumn("_k", F.count(column).over(run))
-    weight = F.pow(F.lit(2.0), F.col("_k") / F.lit(float(halflife)))
-    seen = F.when(F.col(column).isNotNull(), weight)
-    mean = F.sum(F.col(column) * seen).over(run) / F.sum(seen).over(run)
-    return counted.withColumn(out, F.when(F.col("_k") >= least, mean)).drop("_k")
+    observed values, missing ones carry the mean on, and it is null before ``least`` values.
+
+    Weights are counted anew in blocks of ``block`` halflives; the sums of the block before are carried on, and what lies
+    before that weighs 2^-block at most, which is nothing in double precision. So a series may be of any length."""
+    keys = [key] if isinstance(key, str) else key
+    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    size = max(1, int(block * halflife))
+    counted = frame.withColumn("_k", F.count(column).over(run)).withColumn("_b", F.floor((F.col("_k") - 1) / F.lit(size)))
+    weight = F.pow(F.lit(2.0), (F.col("_k") - 1 - F.col("_b") * F.lit(size)) / F.lit(float(halflife)))
+    counted = counted.withColumn("_w", F.when(F.col(column).isNotNull(), weight))
+    totals = counted.where("_w is not null").groupBy(*keys, (F.col("_b") + 1).alias("_b")).agg(F.sum(F.col(column) * F.col("_w")).alias("_s0"), F.sum("_w").alias("_w0"))
+    faded = F.pow(F.lit(2.0), F.lit(-size / float(halflife)))
+    both = counted.join(totals.select(*keys, "_b", (F.col("_s0") * faded).alias("_s0"), (F.col("_w0") * faded).alias("_w0")), [*keys, "_b"], "left")
+    part = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda x, carried: F.coalesce(F.sum(x).over(part), F.lit(0.0)) + F.coalesce(F.col(carried), F.lit(0.0))
+    mean = total(F.col(column) * F.col("_w"), "_s0") / total(F.col("_w"), "_w0")
+    return both.withColumn(out, F.when(F.col("_k") >= least, mean)).select(*frame.columns, out)

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resample(rows: DataFrame, hours: int = 1, values: tuple[str, ...] = ("value",), key: str = "device", ts: str = "ts") -> DataFrame:
+#: Bins of a key's grid beyond which its timestamps are taken for wrong (200 years of hours).
+MOST_BINS = 1_753_200
+
+
+def resample(rows: DataFrame, hours: int = 1, values: tuple[str, ...] = ("value",), key: str = "device", ts: str = "ts", most_bins: int = MOST_BINS) -> DataFrame:
     """(key, ts, i, *values): means over left-closed, left-labelled bins of ``hours``, from each key's first bin to its
     last; ``i`` numbers the bins from 0. Readings are summed before anything is joined, so a window over a key runs over
-    its bins and not over its readings."""
+    its bins and not over its readings. A key whose readings span more than ``most_bins`` is an error, as one wrong
+    timestamp would otherwise make a grid of any length."""
     size = hours * 3600
     bin_no = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000 * size)).cast("long")
     means = rows.where(F.col(ts).isNotNull()).groupBy(F.col(key), bin_no.alias("_b")).agg(*[F.avg(v).alias(v) for v in values])
     span = means.groupBy(key).agg(F.min("_b").alias("_lo"), F.max("_b").alias("_hi"))
-    every = span.select(key, "_lo", F.explode(F.sequence("_lo", "_hi")).alias("_b"))
+    wrong = F.raise_error(F.concat(F.lit("readings span more bins than most_bins: "), F.col(key).cast("string"))).cast("bigint")
+    last = F.when(F.col("_hi") - F.col("_lo") < most_bins, F.col("_hi")).otherwise(wrong)
+    every = span.select(key, "_lo", F.explode(F.sequence("_lo", last)).alias("_b"))
     at = F.timestamp_seconds(F.col("_b") * size).cast("timestamp_ntz")
     return every.join(means, [key, "_b"], "left").select(key, at.alias("ts"), (F.col("_b") - F.col("_lo")).alias("i"), *values)
 

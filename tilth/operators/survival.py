@@ -25,19 +25,18 @@ def survival_labels(grid: DataFrame, drop: float, max_h: int, column: str = "val
 
 
 def kaplan_meier(labels: DataFrame, max_h: int, key: str = "device", censoring: bool = False) -> DataFrame:
-    """(key, h, s): the product-limit curve on 1..max_h of the event, or of the censoring with roles swapped, for which
-    events of the same hour leave the risk set first. Hours nobody is at risk leave the curve level."""
+    """(key, h, s): the product-limit curve on 1..max_h of the event, or of the censoring with roles swapped; in either,
+    everybody who reaches an hour is at risk in it. Hours nobody is at risk leave the curve level."""
     happened = ~F.col("event") & (F.col("time") <= max_h) if censoring else F.col("event")
     counts = labels.groupBy(key, F.col("time").alias("h")).agg(
-        F.count("*").alias("out"), F.count_if(happened).alias("d"), F.count_if("event").alias("e")
+        F.count("*").alias("out"), F.count_if(happened).alias("d")
     )
     total = labels.groupBy(key).agg(F.count("*").alias("n"))
     hours = total.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(max_h))))
     w = Window.partitionBy(key).orderBy("h")
     left = F.coalesce(F.sum("out").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    table = hours.join(counts, [key, "h"], "left").fillna(0, ["out", "d", "e"]).withColumn("r", F.col("n") - left)
-    risk = F.col("r") - F.col("e") if censoring else F.col("r")
-    factor = F.when(risk > 0, 1 - F.col("d") / risk).otherwise(1.0)
+    table = hours.join(counts, [key, "h"], "left").fillna(0, ["out", "d"]).withColumn("r", F.col("n") - left)
+    factor = F.when(F.col("r") > 0, 1 - F.col("d") / F.col("r")).otherwise(1.0)
     return table.withColumn("f", factor).select(key, "h", F.product("f").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
 
 

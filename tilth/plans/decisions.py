@@ -169,7 +169,7 @@ _KM = """hh AS (SELECT device, count(*) AS n, unnest(range(1, 25)) AS h FROM sl
 ct AS (SELECT hh.device, hh.h, hh.n, coalesce(c.o, 0) AS o, coalesce(c.e, 0) AS e FROM hh LEFT JOIN (SELECT device, time, count(*) AS o, count(*) FILTER (event) AS e FROM sl GROUP BY 1, 2) c ON c.device = hh.device AND c.time = hh.h),
 rk AS (SELECT *, n - coalesce(sum(o) OVER (PARTITION BY device ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r FROM ct),
 km AS (SELECT device, h, product(CASE WHEN r > 0 THEN 1 - e / r::DOUBLE ELSE 1 END) OVER (PARTITION BY device ORDER BY h) AS s,
-product(CASE WHEN r - e > 0 THEN 1 - (o - e) / (r - e)::DOUBLE ELSE 1 END) OVER (PARTITION BY device ORDER BY h) AS g FROM rk)"""
+product(CASE WHEN r > 0 THEN 1 - (o - e) / r::DOUBLE ELSE 1 END) OVER (PARTITION BY device ORDER BY h) AS g FROM rk)"""
 DROP, HOURS = 60.0, 24
 
 

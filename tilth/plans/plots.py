@@ -190,20 +190,31 @@ def s27_url_parts(spark, sf_dir):
     return p.select("page_id", F.regexp_extract("url", r"^(https?)://", 1).alias("scheme"), F.regexp_extract("url", r"^https?://([^/:?#]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)?", 1).alias("path"))
 
 
-_CAP = """cf AS (SELECT event_id // 6 AS seq, strftime(DATE '2024-01-01' + CAST(event_id // 60 AS INT), '%Y%m%d') || '_120000' AS taken, CASE event_id % 6 WHEN 0 THEN 'D' WHEN 1 THEN 'MSG' WHEN 2 THEN 'MSR' WHEN 3 THEN 'MSRE' WHEN 4 THEN 'MSNIR' END AS band,
-'/flights/' || event_id AS path FROM events)"""
+_CAP = """cf AS (SELECT event_id, 'DJI_' || strftime(DATE '2024-01-01' + CAST(event_id // 60 AS INT), '%Y%m%d') || '120000_' || lpad(CAST(event_id // 6 % 10000 AS VARCHAR), 4, '0') || '_' ||
+CASE event_id % 6 WHEN 0 THEN 'D_point1.JPG' WHEN 1 THEN 'MS_G_point1.TIF' WHEN 2 THEN 'MS_R_point1.TIF' WHEN 3 THEN 'MS_RE_point1.TIF' WHEN 4 THEN 'MS_NIR_point1.TIF' ELSE 'PPKNAV.nav' END AS name, '/flights/' || event_id AS path FROM events),
+cp AS (SELECT event_id, path, name[5:18] AS taken, name[20:23] AS seq, CASE event_id % 6 WHEN 0 THEN 'D' WHEN 1 THEN 'MS_G' WHEN 2 THEN 'MS_R' WHEN 3 THEN 'MS_RE' WHEN 4 THEN 'MS_NIR' END AS tag FROM cf)"""
 
 
-@query(f"WITH {_CAP} SELECT taken, CAST(seq AS INT) AS seq, CAST(count(*) FILTER (band <> 'D') AS INT) AS n_bands, max(path) FILTER (band = 'D') AS rgb FROM cf WHERE band IS NOT NULL GROUP BY 1, 2")
-def a12_captures(spark, sf_dir):
-    """Files grouped into captures by their names; what isn't a capture is left out."""
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events").select("event_id")
-    bands = F.array(*[F.lit(b) for b in ("D", "MSG", "MSR", "MSRE", "MSNIR", "notes.txt")])
+    kinds = F.array(*[F.lit(b) for b in ("D_point1.JPG", "MS_G_point1.TIF", "MS_R_point1.TIF", "MS_RE_point1.TIF", "MS_NIR_point1.TIF", "PPKNAV.nav")])
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.floor(F.col("event_id") / 60).cast("int")), "yyyyMMdd")
-    band = F.get(bands, (F.col("event_id") % 6).cast("int"))
-    name = F.concat(day, F.lit("_120000_"), F.floor(F.col("event_id") / 6), F.lit("_"), band, F.when(band != "notes.txt", ".TIF").otherwise(""))
-    files = e.select(name.alias("name"), F.concat(F.lit("/flights/"), "event_id").alias("path"))
-    return parsing.group_captures(files).select("taken", "seq", F.size("bands").alias("n_bands"), "rgb")
+    seq = F.lpad((F.floor(F.col("event_id") / 6) % 10000).cast("string"), 4, "0")
+    name = F.concat(F.lit("DJI_"), day, F.lit("120000_"), seq, F.lit("_"), F.get(kinds, (F.col("event_id") % 6).cast("int")))
+    return e.select("event_id", name.alias("name"), F.concat(F.lit("/flights/"), "event_id").alias("path"))
+
+
+@query(f"WITH {_CAP} SELECT event_id, CASE WHEN tag IS NOT NULL THEN taken END AS taken, CASE WHEN tag IS NOT NULL THEN seq END AS seq, tag, CASE WHEN tag IS NOT NULL THEN CAST(1 AS INT) END AS point FROM cp")
+def s30_capture_names(spark, sf_dir):
+    """Time, sequence, kind and way point from the camera's file names; sidecars have none."""
+    f = capture_files(spark, sf_dir)
+    return f.select("event_id", *[c.alias(k) for k, c in parsing.capture_fields(F.col("name")).items()])
+
+
+@query(f"""WITH {_CAP}, o AS (SELECT taken, seq, tag, max(path) AS path FROM cp WHERE tag IS NOT NULL GROUP BY 1, 2, 3) SELECT taken, seq, CAST(1 AS INT) AS point, CAST(count(*) FILTER (tag <> 'D') AS INT) AS n_bands, max(path) FILTER (tag = 'MS_RE') AS red_edge, max(path) FILTER (tag = 'D') AS rgb FROM o GROUP BY 1, 2""")
+def a12_captures(spark, sf_dir):
+    """Files grouped into captures by their names; what isn't a capture is left out."""
+    return parsing.group_captures(capture_files(spark, sf_dir)).select("taken", "seq", "point", F.size("bands").alias("n_bands"), F.col("bands")["red_edge"].alias("red_edge"), "rgb")
 
 
 _BLOCKS = """bl AS (SELECT * FROM (VALUES ('A', 0.0, 0.0, 4.0, 4.0), ('B', 5.0, 0.0, 9.0, 3.0), ('C', 0.0, 5.0, 3.0, 9.0)) t(block_id, x0, y0, x1, y1)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,19 +42,26 @@ def aliased(rows: DataFrame, default: dict[str, str], override: dict[tuple[str,
     return named.withColumn("measurement", F.coalesce("_own", "_any", "measurement")).drop("_own", "_any")
 
 
+def place(lat: float, lon: float, timezone: str = "UTC") -> dict:
+    """Where a weather request asks for. The keys here and below are the service's."""
+    return {"latitude": lat, "longitude": lon, "timezone": timezone}
+
+
 def archive_params(start: str, end: str, lat: float, lon: float, daily: tuple[str, ...], timezone: str = "UTC") -> dict:
-    return {"latitude": lat, "longitude": lon, "start_date": start, "end_date": end, "daily": ",".join(daily), "timezone": timezone}
+    """Past days from ``start`` to ``end``, both included."""
+    return place(lat, lon, timezone) | {"start_date": start, "end_date": end, "daily": ",".join(daily)}
 
 
 def forecast_params(days: int, lat: float, lon: float, daily: tuple[str, ...], timezone: str = "UTC") -> dict:
-    if not 1 <= days <= 16:
-        raise ValueError("a forecast runs for 1 to 16 days")
-    return {"latitude": lat, "longitude": lon, "forecast_days": days, "daily": ",".join(daily), "timezone": timezone}
+    if days not in range(1, 17):
+        raise ValueError(f"{days} days: a forecast runs for 1 to 16")
+    return place(lat, lon, timezone) | {"forecast_days": days, "daily": ",".join(daily)}
 
 
 def previous_runs_params(start: str, end: str, lat: float, lon: float, hourly: tuple[str, ...], lag_days: tuple[int, ...] = (1, 2), timezone: str = "UTC") -> dict:
-    names = [f"{v}_previous_day{n}" for v in hourly for n in lag_days]
-    return {"latitude": lat, "longitude": lon, "start_date": start, "end_date": end, "hourly": ",".join(names), "timezone": timezone}
+    """Hours as forecast some days before, a column for each variable and age."""
+    aged = itertools.product(hourly, lag_days)
+    return place(lat, lon, timezone) | {"start_date": start, "end_date": end, "hourly": ",".join(itertools.starmap("{}_previous_day{}".format, aged))}
 
 
 def daily_payload(payloads: DataFrame, names: dict[str, str], column: str = "payload") -> DataFrame:
@@ -122,21 +130,26 @@ def webdav_base(url: Column) -> Column:
     return F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(url, F.lit("HOST")), F.lit("/public.php/webdav"))
 
 
-CAPTURE = r"^(\d{8}_\d{6})_(\d+)_([A-Z]+)_?(\d*)\.(?:TIF|JPG|tif|jpg)$"
+#: The camera's file names (time to the second, sequence, kind of picture, way point) and its bands' names.
+CAPTURE = r"DJI_(\d{14})_(\d{4})_(D|MS_G|MS_R|MS_RE|MS_NIR)_point(\d+)\.(?:JPG|TIF)$"
+BANDS = {"MS_G": "green", "MS_R": "red", "MS_RE": "red_edge", "MS_NIR": "nir"}
 
 
 def capture_fields(name: Column) -> dict[str, Column]:
-    """Time, sequence and band of a capture's file name; all null if it isn't one."""
+    """Time, sequence, kind and way point of a capture's file name; all null if it isn't one, as with sidecar files."""
     part = lambda i: F.when(name.rlike(CAPTURE), F.regexp_extract(name, CAPTURE, i))
-    return {"taken": part(1), "seq": part(2).cast("int"), "band": part(3)}
+    return {"taken": part(1), "seq": part(2), "tag": part(3), "point": part(4).cast("int")}
 
 
 def group_captures(files: DataFrame, name: str = "name", path: str = "path") -> DataFrame:
-    """(taken, seq, bands map, rgb): one row for each capture; band D is the colour picture."""
+    """(taken, seq, point, bands map, rgb): one row for each capture; kind D is the colour picture. Of several files for
+    one band the last path counts."""
+    named = F.create_map(*[F.lit(x) for pair in BANDS.items() for x in pair])
     f = capture_fields(F.col(name))
-    rows = files.select(F.col(path).alias("path"), *[c.alias(k) for k, c in f.items()]).where("taken is not null")
-    return rows.groupBy("taken", "seq").agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("band") != "D", F.struct("band", "path"))))).alias("bands"), F.max(F.when(F.col("band") == "D", F.col("path"))).alias("rgb")
+    rows = files.select(F.col(path).alias("path"), *[c.alias(k) for k, c in f.items()]).where("taken is not null").withColumn("band", named[F.col("tag")])
+    each = rows.groupBy("taken", "seq", "tag", "band").agg(F.max("path").alias("path"), F.min("point").alias("point"))
+    return each.groupBy("taken", "seq").agg(
+        F.min("point").alias("point"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("band").isNotNull(), F.struct("band", "path"))))).alias("bands"), F.max(F.when(F.col("tag") == "D", F.col("path"))).alias("rgb")
     )
 
 
