@@ -146,17 +146,38 @@ def j11_config_product(spark, sf_dir):
     return devices.withColumn("horizon_h", leads).withColumn("challenger", F.explode(F.array(F.lit("a"), F.lit("b"))))
 
 
-@query()
-def d14_ceiling(spark, sf_dir):
-    """What the best reweighted shape could gain: ceilings of weighted quantile shapes of hourly changes."""
+_SHAPE = f"""WITH {GRID}, zd AS (SELECT device, i, value - lag(value) OVER (PARTITION BY device ORDER BY ts) AS d FROM g), zw AS (SELECT device, i, d, pow(0.5, (max(i) OVER (PARTITION BY device) - i) / 168.0::DOUBLE) AS w FROM zd WHERE d IS NOT NULL),
+zo AS (SELECT device, d, (sum(w) OVER (PARTITION BY device ORDER BY d, i) - w / 2) / sum(w) OVER (PARTITION BY device) AS mid, count(*) OVER (PARTITION BY device) AS n FROM zw),
+zl AS (SELECT *, lead(d) OVER w AS nd, lead(mid) OVER w AS nm, first_value(d) OVER w AS d0 FROM zo WINDOW w AS (PARTITION BY device ORDER BY mid)),
+zt AS (SELECT device, m, unnest(range(m)) AS j FROM (SELECT device, least(256, max(n)) AS m FROM zo GROUP BY 1)), zq AS (SELECT *, (j + 0.5::DOUBLE) / m AS q FROM zt),
+ws AS (SELECT zq.device, zq.j, CASE WHEN zl.d IS NULL THEN f.d0 WHEN zl.nd IS NULL THEN zl.d ELSE zl.d + (q - zl.mid) / (zl.nm - zl.mid) * (zl.nd - zl.d) END AS z FROM zq ASOF LEFT JOIN zl ON zl.device = zq.device AND zq.q >= zl.mid JOIN (SELECT device, any_value(d0) AS d0 FROM zl GROUP BY 1) f ON f.device = zq.device)"""
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(device, j, z): at most 256 quantiles of each device's hourly changes, weighted by age."""
     z = baselines.hourly_deltas(folded(spark, sf_dir)).where("delta is not null").select("device", "i", "delta")
 
-    def ceiling(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, age = pdf["delta"].to_numpy(float), pdf["i"].max() - pdf["i"].to_numpy(float)
-        s = np.sort(kernels.weighted_shape(d, 0.5 ** (age / 168), 256))
-        n, spread = len(s), np.abs(s).mean() if len(s) else 0
-        gmd = 2 * (s * (2 * np.arange(n) - n + 1)).sum() / n**2 if n else None
-        value = round(float(1 - 0.5 * gmd / spread), 6) if n and spread > 0 else None
-        return pd.DataFrame({"device": [pdf["device"].iloc[0]], "points": [n], "ceiling": [value]})
+    def shape(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        age = pdf["i"].max() - pdf["i"].to_numpy(float)
+        s = kernels.weighted_shape(pdf["delta"].to_numpy(float), 0.5 ** (age / 168), 256)
+        return pd.DataFrame({"device": pdf["device"].iloc[0], "j": np.arange(len(s)), "z": s})
+
+    return z.groupBy("device").applyInPandas(shape, "device string, j long, z double")
 
-    return z.groupBy("device").applyInPandas(ceiling, "device string, points long, ceiling double")
+
+@query(f"{_SHAPE} SELECT device, j, round(z, 5) AS z FROM ws")
+def d13_weighted_shape(spark, sf_dir):
+    """Weighted quantiles, interpolated at the midpoints of the weights."""
+    return shapes(spark, sf_dir).select("device", "j", F.round("z", 5).alias("z"))
+
+
+@query(f"""{_SHAPE}, wk AS (SELECT device, z, row_number() OVER (PARTITION BY device ORDER BY z) - 1 AS k, count(*) OVER (PARTITION BY device) AS n FROM ws) SELECT device, CAST(max(n) AS BIGINT) AS points,
+CASE WHEN avg(abs(z)) > 0 THEN round(1 - 0.5 * (2 * sum(z * (2 * k - n + 1)) / (max(n) * max(n))::DOUBLE) / avg(abs(z)), 6) END AS ceiling FROM wk GROUP BY 1""")
+def d14_ceiling(spark, sf_dir):
+    """What the best reweighted shape could gain: ceilings of weighted quantile shapes of hourly changes."""
+    w = Window.partitionBy("device")  # 256 rows
+    k = shapes(spark, sf_dir).withColumn("k", F.row_number().over(w.orderBy("z")) - 1).withColumn("n", F.count("*").over(w))
+    n, spread = F.max("n").cast("double"), F.avg(F.abs("z"))
+    gmd = 2 * F.sum(F.col("z") * (2 * F.col("k") - F.col("n") + 1)) / (n * n)
+    return k.groupBy("device").agg(F.max("n").alias("points"), r6(F.when(spread > 0, 1 - 0.5 * gmd / spread), "ceiling"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import itertools
 import re
+import zipfile
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,17 @@ def vintage_name(raw: str) -> str | None:
     return f"{m[1]}_prev{m[2]}" if m else None
 
 
+def hourly_payload(payloads: DataFrame, raws: list[str], column: str = "payload") -> DataFrame:
+    """(ts, *vintages): rows of ``{"hourly": {"time": [...], "<variable>_previous_day<n>": [...]}}``; a payload without
+    that block is an error, and a name that isn't a vintage's is left out."""
+    names = {r: v for r in raws if (v := vintage_name(r))}
+    fields = ", ".join(f"`{raw}`: array<double>" for raw in names)
+    block = F.from_json(column, f"struct<hourly: struct<`time`: array<string>, {fields}>>")["hourly"]
+    found = payloads.select(F.when(block.isNull(), F.raise_error(F.lit("payload without hourly block"))).otherwise(block).alias("h"))
+    rows = found.select(F.inline(F.arrays_zip("h.time", *[f"h.{raw}" for raw in names])))
+    return rows.select(F.col("time").cast("timestamp_ntz").alias("ts"), *[F.col(raw).alias(n) for raw, n in names.items()])
+
+
 def placemarks(texts: DataFrame, column: str = "kml") -> DataFrame:
     """(name, kind, coords array<struct<lon, lat>>) of the points and polygons of KML texts; other geometry is skipped."""
     marks = texts.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<(?:\w+:)?Placemark[\s>].*?</(?:\w+:)?Placemark>"), F.lit(0))).alias("m"))
@@ -95,11 +109,6 @@ def placemarks(texts: DataFrame, column: str = "kml") -> DataFrame:
 
 def kmz_texts(files: DataFrame) -> DataFrame:
     """(path, kml) of binaryFile rows: the first KML in a zip, or the file itself."""
-    import io
-    import zipfile
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(content: pd.Series) -> pd.Series:
         def one(data: bytes) -> str:
@@ -181,9 +190,13 @@ def write_by_device(df: DataFrame, path: str, key: str = "device") -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).parquet(path)
 
 
+#: To the microsecond; the format left unset would cut them off.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A report table: one CSV file with a head line."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.coalesce(1).write.mode("overwrite").options(timestampNTZFormat=MICROS, timestampFormat=MICROS).csv(path, header=True)
 
 
 def markdown_table(df: DataFrame, formats: dict[str, str] | None = None, rows: int = 1000) -> str:
