@@ -458,3 +458,50 @@ m04_gbt = _one("m04_gbt", "gbt", "Boosted trees, missing values in a bin of thei
 m05_water_balance = _one("m05_water_balance", "water_balance", "Persistence corrected for water in and out (M05).")
 m06_harmonic = _one("m06_harmonic", "harmonic", "Trend and harmonics: an approximate stand-in for additive seasonal models (M06).")
 m08_autoregression = _one("m08_autoregression", "autoregression", "Direct autoregression: an approximate stand-in for ARIMA (M08).")
+
+
+@query(f"SELECT CAST(k AS INT) AS k, round((k + 0.5) / 16, 6) AS p FROM (SELECT unnest(range(16)) AS k)")
+def d23_gaussian_increments(spark, sf_dir):
+    """Sixteen increments of a normal law of mean 2 and deviation 3, shown by the chances below them."""
+    z = spark.createDataFrame(list(enumerate(kernels.gaussian_increments(2.0, 3.0, 16).tolist())), "k int, z double")
+    return z.select("k", F.round(kernels.ndtr_udf((F.col("z") - 2) / 3), 6).alias("p"))
+
+
+@query()
+def d28_boundary_level(spark, sf_dir):
+    """Where acting at each of three costs beats waiting one hour, between nodes of the grid."""
+    make = lambda r: [(r.device, c, round(float(kernels.exercise_boundary(r.pool, ALERT_BELOW, 1, c, ALERT_BELOW + 8 * float(np.std(r.pool)))[0]), 6)) for c in (0.05, 0.1, 0.3)]
+    return _curve(spark, sf_dir, make, "device string, cost double, level double")
+
+
+@query()
+def e21_bucketed_survival(spark, sf_dir):
+    """Survival by drift class: each class's law, read off at a depth of five deviations."""
+    lean = volatility(spark, sf_dir).where("sigma > 0 and drift is not null").select("device", (F.col("drift") / F.col("sigma")).alias("m"))
+
+    def curves(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for b, m in enumerate(kernels.drift_buckets(pdf.m, 3)[1]):
+            levels, p = kernels.crossing_curve(kernels.gaussian_increments(m, 1.0, POINTS), 0.0, HOURS, each=True)
+            rows += [(pdf.device.iloc[0], b, h + 1, round(float(1 - np.interp(5.0, levels, p[h], right=0.0)), 6)) for h in range(HOURS)]
+        return pd.DataFrame(rows, columns=["device", "bucket", "h", "s"])
+
+    return lean.groupBy("device").applyInPandas(curves, "device string, bucket int, h int, s double")
+
+
+@query()
+def m14_logistic_hazard(spark, sf_dir):
+    """The fitted hourly hazard at noon, by period, for the median drift and depth."""
+    lab = labelled(spark, sf_dir).join(volatility(spark, sf_dir).select("device", "ts", "drift", "sigma"), ["device", "ts"]).where("drift is not null and sigma > 0")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        row, period, died = kernels.person_periods(pdf.time.to_numpy(int), pdf.event.to_numpy(bool), HOURS)
+        lean, depth, hour = (pdf.drift / pdf.sigma).to_numpy(), (DROP / pdf.sigma).to_numpy(), pd.to_datetime(pdf.ts).dt.hour.to_numpy()
+        hazard = models.logistic_hazard(models.hazard_design(period, (hour[row] + period) % 24, lean[row], depth[row]), died)
+        steps = np.arange(1, HOURS + 1)
+        at = models.hazard_design(steps, np.full(HOURS, 12), np.full(HOURS, np.median(lean)), np.full(HOURS, np.median(depth)))
+        values = hazard(at) if hazard else [None] * HOURS
+        return pd.DataFrame({"device": pdf.device.iloc[0], "period": steps, "hazard": [None if v is None else round(float(v), 6) for v in values]})
+
+    return lab.groupBy("device").applyInPandas(fit, "device string, period int, hazard double")

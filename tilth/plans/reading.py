@@ -466,11 +466,18 @@ def r32_phases(spark, sf_dir):
 
 @query("SELECT false AS without_token, true AS with_token")
 def r23_series_client(spark, sf_dir):
-    """No series without a token."""
+    """No series without a token."""
     make = lambda t: configs.accepted(services.SeriesClient, "https://series.example.org", t, "org", "probes")
     return spark.createDataFrame([(make(None), make("t"))], "without_token boolean, with_token boolean")
 
 
+@query("SELECT 'POST' AS method, 'https://series.example.org/api/v2/query?org=field' AS url, true AS authorized")
+def r24_series_request(spark, sf_dir):
+    """What the series client sends."""
+    r = services.SeriesClient("https://series.example.org", "t", "field", "probes").request("dev1", ["click"])
+    return spark.createDataFrame([(r.get_method(), r.full_url, r.get_header("Authorization") == "Token t")], "method string, url string, authorized boolean")
+
+
 @query("SELECT 'T0ken' AS token, 'https://share.example.org/public.php/webdav' AS base")
 def r25_share_client(spark, sf_dir):
     c = _share()

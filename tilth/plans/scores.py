@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import baselines, events, features, folds, grid, phenology, scoring, screening
+from ..operators import baselines, events, features, folds, phenology, scoring, screening
 from ..sources import views
 from .decisions import _EVENTS, _MASK, _STUDY, _SURV, _KM, _VOL, HOURS, found_events, labelled, study, volatility
-from .plots import _PX, _RANKED, _RANGES, ranked, zones
-from .registry import FOLDS, GRID, WEATHER, query
-from .sensor import _JOINED, _SCORED, _VINTAGE, ALERT_BELOW, folded, hourly, r6, scored, stacked, with_vintages, with_weather
+from .plots import _PX, _RANGES, _RANKED, ranked
+from .registry import FOLDS, GRID, ORACLE_SQL, WEATHER, query
+from .sensor import _SCORED, _VINTAGE, ALERT_BELOW, folded, hourly, r6, scored, stacked, with_vintages, with_weather
 from .small import declared_features
 
 _COUNTS = "count(*) FILTER (y < 25 AND pred < 25) AS tp, count(*) FILTER (NOT y < 25 AND pred < 25) AS fp, count(*) FILTER (y < 25 AND NOT pred < 25) AS fn, count(*) FILTER (NOT y < 25 AND NOT pred < 25) AS tn"
@@ -576,3 +576,17 @@ def m21_normalized_batch(spark, sf_dir):
     if s["std"] is None:
         return e.select("vec_id", "i", F.lit(None).cast("double").alias("v"))
     return e.select("vec_id", "i", F.round((F.col("x").cast("double") - s["mean"]) / s["std"], 5).alias("v"))
+
+
+@query(f"""{_RANKED} SELECT zone, quality_ok, CASE WHEN quality_ok THEN CAST(rank() OVER (PARTITION BY quality_ok ORDER BY round(score, 9) DESC) AS INT) END AS rank FROM sc""")
+def g01_screened_rasters(spark, sf_dir):
+    """From pixels of two indices to ranks of blocks."""
+    return ranked(spark, sf_dir).select("zone", "quality_ok", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH a AS ({ORACLE_SQL["w12_diurnal_drift_temp"]}), {FOLDS} SELECT f.device, CAST(count(*) AS BIGINT) AS n, round(avg(abs(f.value - a.forecast)), 5) AS mae FROM f JOIN a ON a.device = f.device AND a.ts = f.ts WHERE fold >= 0 AND f.value IS NOT NULL AND a.forecast IS NOT NULL GROUP BY 1""")
+def m17_temperature_drift(spark, sf_dir):
+    """Scores of the drift by temperature class."""
+    g = folds.with_folds(with_weather(spark, sf_dir).withColumnRenamed("temp_mean_c", "temp"))
+    f = baselines.diurnal_drift_temp(g, g.where("fold = -1"), 6).where("fold >= 0 and value is not null and forecast is not null")
+    return f.groupBy("device").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("value") - F.col("forecast"))), 5).alias("mae"))

@@ -80,15 +80,15 @@ def u01_union(spark, sf_dir):
     return g.where("device <> 'click'").unionByName(g.where("device = 'click'")).groupBy("device").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {FOLDS}, pv AS (SELECT ts, max(i) AS i, max(n) AS n, max(fold) AS fold, max(value) FILTER (device = 'click') AS a, avg(value) FILTER (device <> 'click') AS b FROM f GROUP BY 1),
+_ECM = f"""WITH {FOLDS}, pv AS (SELECT ts, max(i) AS i, max(n) AS n, max(fold) AS fold, max(value) FILTER (device = 'click') AS a, avg(value) FILTER (device <> 'click') AS b FROM f GROUP BY 1),
 fo AS (SELECT unnest(range(5)) AS k), tr AS (SELECT fo.k, pv.* FROM pv CROSS JOIN fo WHERE i < n // 2 + CAST(round_even(k * (n - n // 2) / 5.0, 0) AS BIGINT) - 5 AND a IS NOT NULL AND b IS NOT NULL),
 mo AS (SELECT k, avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb FROM tr GROUP BY 1),
 sp AS (SELECT mo.k, pv.*, (a - ma) / sa - (b - mb) / sb AS s FROM pv CROSS JOIN mo), lg AS (SELECT *, lag(s, 6) OVER (PARTITION BY k ORDER BY ts) AS s6, lag(a, 6) OVER (PARTITION BY k ORDER BY ts) AS a6 FROM sp),
-co AS (SELECT k, regr_slope(a - a6, s6) AS sl, regr_intercept(a - a6, s6) AS ic FROM lg WHERE i < n // 2 + CAST(round_even(k * (n - n // 2) / 5.0, 0) AS BIGINT) - 5 AND a IS NOT NULL AND a6 IS NOT NULL AND s6 IS NOT NULL GROUP BY 1)
-SELECT CAST(lg.k AS INT) AS fold, CAST(count(*) AS BIGINT) AS n, round(avg(abs(a - (a6 + ic + sl * s6))), 5) AS mae, round(avg(abs(a - a6)), 5) AS mae_persistence FROM lg JOIN co ON co.k = lg.k
-WHERE lg.fold = lg.k AND a IS NOT NULL AND a6 IS NOT NULL AND s6 IS NOT NULL GROUP BY 1""")
-def m12_ecm_walk_forward(spark, sf_dir):
-    """Error correction against the mean of the other devices, fitted on each fold's purged past."""
+co AS (SELECT k, regr_slope(a - a6, s6) AS sl, regr_intercept(a - a6, s6) AS ic FROM lg WHERE i < n // 2 + CAST(round_even(k * (n - n // 2) / 5.0, 0) AS BIGINT) - 5 AND a IS NOT NULL AND a6 IS NOT NULL AND s6 IS NOT NULL GROUP BY 1)"""
+
+
+def ecm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of each fold's error correction with the lagged spread, and (k, sl, ic) of the fits on its purged past."""
     h = 6
     g = folds.with_folds(hourly(spark, sf_dir))
     own = F.col("device") == "click"
@@ -102,12 +102,38 @@ def m12_ecm_walk_forward(spark, sf_dir):
     o = w.orderBy("ts")
     x = wide.withColumn("past", past).withColumn("s", s).withColumn("s6", F.lag("s", h).over(o)).withColumn("a6", F.lag("a", h).over(o))
     x = x.where("a is not null and a6 is not null and s6 is not null")
-    fit = x.where("past").groupBy("k").agg(F.regr_slope(F.col("a") - F.col("a6"), F.col("s6")).alias("sl"), F.regr_intercept(F.col("a") - F.col("a6"), F.col("s6")).alias("ic"))
+    change = F.col("a") - F.col("a6")
+    return x, x.where("past").groupBy("k").agg(F.regr_slope(change, F.col("s6")).alias("sl"), F.regr_intercept(change, F.col("s6")).alias("ic"), F.count("*").alias("rows"))
+
+
+@query(f"""{_ECM} SELECT CAST(lg.k AS INT) AS fold, CAST(count(*) AS BIGINT) AS n, round(avg(abs(a - (a6 + ic + sl * s6))), 5) AS mae, round(avg(abs(a - a6)), 5) AS mae_persistence FROM lg JOIN co ON co.k = lg.k
+WHERE lg.fold = lg.k AND a IS NOT NULL AND a6 IS NOT NULL AND s6 IS NOT NULL GROUP BY 1""")
+def m12_ecm_walk_forward(spark, sf_dir):
+    """Error correction against the mean of the other devices, fitted on each fold's purged past."""
+    x, fit = ecm(spark, sf_dir)
     test = x.where("fold = k").join(fit, "k")
     err = F.abs(F.col("a") - (F.col("a6") + F.col("ic") + F.col("sl") * F.col("s6")))
     return test.groupBy(F.col("k").alias("fold")).agg(F.count("*").alias("n"), F.round(F.avg(err), 5).alias("mae"), F.round(F.avg(F.abs(F.col("a") - F.col("a6"))), 5).alias("mae_persistence"))
 
 
+@query(f"{_ECM} SELECT CAST(k AS INT) AS fold, round(sl, 5) AS slope, round(ic, 5) AS intercept FROM co")
+def e08_ecm_diagnostics(spark, sf_dir):
+    """How each fold's fit pulls the level back."""
+    return ecm(spark, sf_dir)[1].select(F.col("k").alias("fold"), F.round("sl", 5).alias("slope"), F.round("ic", 5).alias("intercept"))
+
+
+@query(f"""WITH {GRID}, t AS (SELECT max(ts) + INTERVAL 3 HOUR AS now FROM g), l AS (SELECT device, arg_max(value, ts) AS level, max(ts) AS read_at FROM g WHERE value IS NOT NULL AND isfinite(value) GROUP BY 1),
+s AS (SELECT device, CASE WHEN (epoch(now) - epoch(read_at)) / 3600.0 BETWEEN -0.25 AND 4 THEN level END AS v FROM l CROSS JOIN t) SELECT device, CAST(h AS INT) AS horizon_h, round(v, 6) AS soil_water, v < 25 AS irrigate FROM s, (SELECT unnest([6, 12, 24, 48]) AS h)""")
+def g06_irrigation_forecast(spark, sf_dir):
+    """What the irrigation service would answer for every device: nothing from readings that are stale."""
+    g = hourly(spark, sf_dir)
+    now = g.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("now"))
+    last = g.where("value is not null").groupBy("device").agg(F.max_by("value", "ts").alias("level"), F.max("ts").alias("read_at"))
+    age = (F.unix_timestamp(F.col("now").cast("timestamp")) - F.unix_timestamp(F.col("read_at").cast("timestamp"))) / 3600.0
+    v = last.join(F.broadcast(now)).withColumn("v", F.when(age.between(-0.25, 4.0), F.col("level")))  # one row
+    return v.select("device", F.explode(F.array(*[F.lit(h) for h in HORIZONS])).alias("horizon_h"), r6("v", "soil_water"), (F.col("v") < 25).alias("irrigate"))
+
+
 def main(argv: list[str]) -> int:
     """``run <query> <data folder>``, ``list``, ``version``."""
     from . import QUERIES
