@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
-The two models are compared by log-likelihood ratio on every run of token characters that no pattern has taken. They
-are trained on labelled samples: strings that the patterns find, and seeded random strings of the usual alphabets, are
-positive; other runs of token characters in the same texts are negative. Texts for training are a bounded sample (the
+The two models are compared by log-likelihood ratio, character by character, on every run of token characters. In a run,
+the stretches whose ratios add up highest are found, so that a secret shows in a long path or beside a word as it does
+alone; a stretch counts if its whole ratio, less a toll for each character, reaches a threshold, and it then reaches out
+to the next separator. The models are trained on labelled samples: strings that the patterns find, and seeded random
+strings of the usual alphabets, are positive; runs in the same texts that are made as words and identifiers are made
+are negative, as are those words joined by the usual separators. Texts for training are a bounded sample (the
 ``SAMPLE_DOCS`` ids of smallest hash); only their character-pair counts leave the executors.
 """
 
@@ -22,12 +25,12 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 SAMPLE_DOCS = 4000
-#: Runs shorter than this are not judged; shorter strings say too little.
-LEAST_RUN = 20
-#: A run of fewer distinct characters is a rule or a filler.
-LEAST_DISTINCT = 8
-#: Log-likelihood ratio, in nats a character, from which a run is taken as random.
-THRESHOLD = 1.0
+#: Characters that a stretch, and so a run, must have at least: shorter strings say too little.
+LEAST_RUN = 16
+#: What has fewer distinct characters is a rule or a filler, no secret.
+LEAST_DISTINCT = 6
+#: Toll on each character of a stretch, and the ratio beyond it from which a stretch is taken as random, in nats.
+TOLL, THRESHOLD = 0.5, 10.0
 
 
 def _set(chars: str) -> np.ndarray:
@@ -71,25 +74,60 @@ def _base(buf: np.ndarray, off: np.ndarray, texts) -> list[tuple[int, int, int,
     return found
 
 
-def _free_runs(buf: np.ndarray, off: np.ndarray, taken: list[tuple], least: int) -> Iterator[tuple[int, int, int]]:
-    """Runs of token characters of at least ``least`` bytes that touch no taken span."""
+def _runs(buf: np.ndarray, off: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) of the runs of token characters of at least ``least`` bytes."""
     start, end, row = edges(_RUN[buf], off)
     long = end - start >= least
+    yield from zip(row[long].tolist(), start[long].tolist(), end[long].tolist(), strict=True)
+
+
+def _free_runs(buf: np.ndarray, off: np.ndarray, taken: list[tuple], least: int) -> Iterator[tuple[int, int, int]]:
+    """Those runs that touch no taken span."""
     spans = sorted((a, b) for _, a, b, _, _ in taken)
     highs = np.maximum.accumulate([b for _, b in spans]) if spans else np.zeros(0, np.int64)
     lows = np.array([a for a, _ in spans], np.int64)
-    for a, b, r in zip(start[long].tolist(), end[long].tolist(), row[long].tolist(), strict=True):
+    for r, a, b in _runs(buf, off, least):
         k = int(np.searchsorted(lows, b))  # spans that start before b; the furthest end among them tells of a touch
         if k == 0 or highs[k - 1] <= a:
             yield r, a, b
 
 
+_PIECE = rb"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
+_ORDINARY = re.compile(_PIECE + rb"(?:[A-Z][a-z]{2,}|[_/=+-]+" + _PIECE + rb")*[_/=+-]*")
+
+
+def ordinary(s: bytes) -> bool:
+    """Whether a run is made as words and identifiers are: pieces of small letters, capitals or digits alone, each at most
+    with one capital before it, joined by separators or by capitals with two small letters or more after them."""
+    return _ORDINARY.fullmatch(s) is not None
+
+
 def _pairs(strings: list[bytes]) -> np.ndarray:
-    """Counts of character pairs, 0 standing for the start."""
+    """Counts of character pairs, 0 standing for the start and for the end."""
     out = np.zeros((128, 128))
-    for s in strings:
-        codes = np.frombuffer(s, np.uint8)
-        np.add.at(out, (np.concatenate(([0], codes[:-1])), codes), 1)
+    if strings:
+        codes = np.frombuffer(b"\0".join(strings), np.uint8)
+        np.add.at(out, (np.concatenate(([0], codes)), np.concatenate((codes, [0]))), 1)
+    return out
+
+
+def _joined(words: np.ndarray, share: float = 0.1) -> np.ndarray:
+    """Counts of the pairs at the joints of ``words``' pieces, were they joined as identifiers and paths are."""
+    ends, begins = words[:, 0].copy(), words[0].copy()
+    ends[0] = begins[0] = 0
+    total = begins.sum()
+    out = np.zeros_like(words)
+    if total:
+        for sep in b"_-/=+":
+            out[:, sep] += share * ends
+            out[sep] += share * begins
+        capital = np.zeros(128)
+        for c in range(97, 123):
+            capital[c - 32] = begins[c] + begins[c - 32]
+        out += share * np.outer(ends, capital) / total
+        digits = np.zeros(128)
+        digits[48:58] = total / 10
+        out += share * np.outer(ends, digits) / total + share * np.outer(digits, digits) / total
     return out
 
 
@@ -111,9 +149,35 @@ class Model:
 
         self.ratio = np.log(smoothed(random)) - np.log(smoothed(ordinary))
 
-    def score(self, s: bytes) -> float:
+    def gains(self, s: bytes) -> np.ndarray:
+        """Each character's log-likelihood ratio, given the one before."""
         codes = np.frombuffer(s, np.uint8)
-        return float(self.ratio[np.concatenate(([0], codes[:-1])), codes].mean()) if len(codes) else 0.0
+        return self.ratio[np.concatenate(([0], codes[:-1])), codes] if len(codes) else np.zeros(0)
+
+    def stretches(self, s: bytes, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+        """(start, end) of the stretches of a run that are taken as random, from left to right."""
+        sums = np.concatenate(([0.0], np.cumsum(self.gains(s) - TOLL)))
+        out: list[tuple[int, int]] = []
+        open_ = [(0, len(s))]
+        while open_:
+            low, high = open_.pop()
+            if high - low < LEAST_RUN:
+                continue
+            here = sums[low : high + 1]
+            rise = here - np.minimum.accumulate(here)
+            end = int(rise.argmax())
+            if rise[end] < threshold:
+                continue
+            start = int(here[: end + 1].argmin())
+            a, b = low + start, low + end
+            while a > low and chr(s[a - 1]).isalnum():
+                a -= 1
+            while b < high and chr(s[b]).isalnum():
+                b += 1
+            if b - a >= LEAST_RUN and len(set(s[a:b])) >= LEAST_DISTINCT:
+                out.append((a, b))
+            open_ += [(low, a), (b, high)]
+        return sorted(out)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -128,7 +192,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             for part, buf, off in slices(batch, "text"):
                 base = _base(buf, off, lambda row, c=part.column(1): c[row].as_py() or "")
                 total[1] += _pairs([v for _, _, b, _, a in base if max(v := buf[a:b].tobytes(), default=0) < 128])
-                total[0] += _pairs([buf[a:b].tobytes() for _, a, b in _free_runs(buf, off, base, 6)])
+                total[0] += _pairs([v for _, a, b in _free_runs(buf, off, base, 3) if ordinary(v := buf[a:b].tobytes())])
         label, a, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[label, a, b])], ["label", "a", "b", "n"]
@@ -137,17 +201,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     total = np.zeros((2, 128, 128))
     for r in texts.mapInArrow(run, "label int, a int, b int, n double").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
         total[r["label"], r["a"], r["b"]] = r["n"]  # 2 x 128 x 128 rows at most
-    return Model(total[1] + _pairs(_made_up()), total[0])
+    return Model(total[1] + _pairs(_made_up()), total[0] + _joined(total[0]))
 
 
 def _found(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray, text_at: int, model: Model, threshold: float) -> list[tuple[int, int, int, int]]:
     """(row, start, end, kind) of all spans in bytes of the slice, by row, start and kind."""
     base = _base(buf, off, lambda row: part.column(text_at)[row].as_py() or "")
     spans = [(r, a, b, k) for r, a, b, k, _ in base]
-    for r, a, b in _free_runs(buf, off, base, LEAST_RUN):
-        run = buf[a:b].tobytes()
-        if len(set(run)) >= LEAST_DISTINCT and model.score(run) >= threshold:
-            spans.append((r, a, b, 3))
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for r, a, b, _ in spans:
+        taken.setdefault(r, []).append((a, b))
+    for r, a, b in _runs(buf, off, LEAST_RUN):
+        for x, y in model.stretches(buf[a:b].tobytes(), threshold):
+            if not any(u <= a + x and a + y <= v for u, v in taken.get(r, ())):  # else a pattern has it whole
+                spans.append((r, a + x, a + y, 3))
     return sorted(spans, key=lambda s: (s[0], s[1], s[3]))
 
 
@@ -212,7 +279,8 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
-        *(count(k) for k in KINDS),
+        *(count(k) for k in KINDS if k != "random"),
         F.sha2(text(F.filter("spans", lambda s: s["kind"] != "random")).cast("binary"), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
+        count("random"),
     )
