@@ -123,4 +123,5 @@ def keep_good(docs: DataFrame, policy: str = "v1", text_col: str = "text") -> Da
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: the ledger of all documents with the verdicts of the base and the current policy."""
     rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return rows.withColumn("base_failed", F.col("failed").bitwiseAND(F.lit(mask("base"))) != 0)
+    base = F.col("failed").bitwiseAND(F.lit(mask("base"))) != 0
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_upper", "n_lines", "failed")
