@@ -393,3 +393,16 @@ def test_pipeline(spark, tmp_path):
     assert 51 not in seen["quality_rules"] and 50 in seen["quality_rules"]
     assert seen["minhash_near_dup"] == set(range(40)) == seen["secret_scans"]
     assert seen["packing"] == seen["mixing"]
+
+
+def test_pairs_left_aside_are_unlike():
+    rng = np.random.default_rng(60)
+    base = rng.integers(0, 1 << 60, 90)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(40, 91)], rng.integers(0, 1 << 60, rng.integers(0, 30))))).astype(np.uint64) for _ in range(70)]
+    sets += [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.uint64) for _ in range(40)]
+    may = near_dup._may_link(sets, 80, 100)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = len(np.intersect1d(a, b))
+            assert may[i, j] or 100 * both < 80 * (len(a) + len(b) - both)
+    assert not may.all()

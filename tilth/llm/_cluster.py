@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local run (one process)
+    gets a temporary folder; on a cluster it is an error, as executors wouldn't see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tilth-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -38,11 +42,12 @@ def parts_for(df: DataFrame, size, per_part: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // per_part) + 1)
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links by alternating large and small stars; returns (node, component),
     one row for each node in a link, the component being its smallest node. Only minima and joins on a node are
     used, so a node with very many links is split like any skewed join and nothing comes to the driver but one
-    checksum a round. Null ends and self links are ignored. No rows give no rows."""
+    checksum a round. Rounds end when nothing changes any more, after a logarithm of the nodes. Null ends and self links
+    are ignored. No rows give no rows."""
     links = cut(
         pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u is not null and v is not null and u <> v")
@@ -53,7 +58,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(links)
-    for _ in range(max_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -70,8 +75,6 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 

@@ -8,7 +8,8 @@ that distance is missed. At j = 0.8 a pair shares none of the 32 keys with proba
 
 Candidates are never listed as pairs. Texts with one shingle set are one class. A key links each class to its
 smallest; connected components of these links are clusters, which hold every candidate pair. Within a cluster (large
-ones are cut into square tiles, all of which are compared) signatures narrow the field and the full sets decide.
+ones are cut into square tiles, all of which are compared) pairs that share none of their rarest shingles, of which two
+sets alike enough must share one, are left aside, and the full sets decide on the rest: no pair of a cluster is lost.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ from ._cluster import components, cut, release
 from ._text import blobs, mix, packed, runs, shingles, slices, words
 
 VALUES, CHUNK, BITS = 32, 4, 16
-#: Signatures further apart than this are taken as unlike; 15 is what the keys guarantee, and a pair at a likeness
-#: of 0.8 lies beyond 18 with probability 2e-6.
-MOST_DISTANT = 18
 #: Classes of a cluster that one tile compares with as many others.
 TILE = 1024
 _U = np.uint64
@@ -87,11 +85,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 def _linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that join all sets i, j with den * |i & j| >= num * |i | j|, as (set, smallest of its component)."""
     label = np.arange(len(sets))
-    sig = signatures(sets)
-    near = np.empty((len(sets), len(sets)), bool)
-    for i in range(len(sets)):
-        near[i] = (sig != sig[i]).sum(1) <= MOST_DISTANT
-    group = _settled(near)
+    group = _settled(_may_link(sets, num, den))
     for g in np.unique(group):
         members = np.flatnonzero(group == g)
         if len(members) < 2:
@@ -120,6 +114,30 @@ def _linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]
     return [(i, int(k)) for i, k in enumerate(label) if i != k]
 
 
+def _may_link(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Pairs that aren't ruled out, as a symmetric matrix with a true diagonal. With shingles in order of how many of these
+    sets have them, two sets that share num / den of their union share one of their first n - ceil(n * num / den) + 1."""
+    sizes = np.array([len(s) for s in sets])
+    seen, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    by = np.lexsort((inverse, count[inverse], owner))
+    place = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < np.repeat(sizes - -(-sizes * num // den) + 1, sizes)
+    rare, mine = inverse[by][first], owner[first]
+    keep = count[rare] > 1
+    rare, mine = np.unique(rare[keep], return_inverse=True)[1], mine[keep]
+    near = np.eye(len(sets), dtype=bool)
+    order = np.argsort(rare, kind="stable")
+    rare, mine = rare[order], mine[order]
+    step = max(256, 16_000_000 // max(1, len(sets)))
+    for low in range(0, int(rare[-1]) + 1 if len(rare) else 0, step):
+        a, b = np.searchsorted(rare, [low, low + step])
+        has = np.zeros((len(sets), min(step, int(rare[-1]) + 1 - low)), np.float32)
+        has[mine[a:b], rare[a:b] - low] = 1
+        near |= has @ has.T > 0
+    return near & (den * np.minimum(sizes[:, None], sizes[None, :]) >= num * np.maximum(sizes[:, None], sizes[None, :]))
+
+
 def _settled(link: np.ndarray) -> np.ndarray:
     """The smallest index of each index's component in a symmetric matrix of links (with a true diagonal)."""
     n = len(link)
