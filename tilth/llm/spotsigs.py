@@ -34,8 +34,8 @@ def spots(text: Column) -> Column:
     """The sorted distinct spot signatures of a text, as 64-bit hashes.
 
     Each common word gives one signature with the next two content words. Every word with no common word within GAP words
-    begins a chain of three; in a text without common words, that is every word. A text without a letter or digit, or
-    null, has no signature."""
+    begins a chain of three; in a text without common words, that is every word. A text without a letter or digit has
+    one signature, the text itself; an empty or null one has none."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
     def places(w: Column) -> Column:
@@ -62,7 +62,9 @@ def spots(text: Column) -> Column:
         plain = F.transform(bare, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(CHAIN + 1)]))
         return F.when(F.size(w) > 0, F.concat(spotted, plain)).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_sort(F.array_distinct(_let(_let(words, places), chains)))
+    found = F.array_sort(F.array_distinct(_let(_let(words, places), chains)))
+    whole = F.when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+    return _let(found, lambda s: F.when(F.size(s) == 0, whole).otherwise(s))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -87,19 +89,25 @@ def search(docs: DataFrame, queries: Column, threshold: float = 0.8, id_col: str
     """(query_id, match_id, likeness): for each row that ``queries`` selects, all rows at least ``threshold`` alike.
 
     Sets are dealt out by length: a band of lengths is as wide as the threshold allows, so a match lies in the query's
-    band or a neighbouring one. Within a band, sets meet if they share one of the smallest hashes that a match must
-    share (a prefix of size n - ceil(t n) + 1); only then are they compared. Equal sets are compared once, as a class.
-    Null ids and texts without a signature match nothing; repeated ids count once; no rows give no rows.
+    band or a neighbouring one. Within a band, sets meet if they share one of the spots that a match must share (a prefix
+    of n - ceil(t n) + 1 of them, rarest first, so common spots bring few together) and their lengths allow it; only then
+    are they compared. Equal sets are compared once, as a class. Null ids and texts without a signature match nothing;
+    repeated ids count once; no rows give no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), spots(F.col(text_col)).alias("s"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = cut(base.where("id is not null and size(s) > 0").select("id", "s", "q", F.xxhash64("s").alias("k")).distinct())
-    size = F.size("s")
-    band = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
-    prefix = F.slice("s", F.lit(1), size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)
-    sets = rows.groupBy("k", "s").agg(F.max("q").alias("q")).withColumn("band", band).withColumn("x", F.explode(prefix))
-    asked = sets.where("q").select(F.col("k").alias("ka"), F.col("s").alias("sa"), F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"), "x")
-    near = asked.join(sets.select("k", "s", "band", "x"), ["band", "x"]).select("ka", "k", "sa", "s").distinct()
-    alike = near.withColumn("likeness", likeness(F.col("sa"), F.col("s"), threshold)).where(F.col("likeness") >= threshold)
+    sets = cut(rows.groupBy("k").agg(F.max("q").alias("q"), F.first("s").alias("s")))
+    each = sets.select("k", "q", F.size("s").alias("n"), F.explode("s").alias("x"))
+    known = each.groupBy("x").agg(F.count("*").alias("in"))
+    ranked = each.join(known, "x").groupBy("k", "q", "n").agg(F.array_sort(F.collect_list(F.struct("in", "x"))).alias("o"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+    prefix = F.slice("o.x", F.lit(1), F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1)
+    filed = ranked.select("k", "q", "n", band.alias("band"), F.explode(prefix).alias("x"))
+    asked = filed.where("q").select(F.col("k").alias("ka"), F.col("n").alias("na"), "x", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band"))
+    low, high = F.least("na", "n"), F.greatest("na", "n")
+    near = asked.join(filed.select("k", "n", "band", "x"), ["band", "x"]).where(low >= F.lit(threshold) * high - 1e-9).select("ka", "k").distinct()
+    both = near.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sets.select("k", "s"), "k")
+    alike = both.withColumn("likeness", likeness(F.col("sa"), F.col("s"), threshold)).where(F.col("likeness") >= threshold)
     left = rows.where("q").select(F.col("id").alias("query_id"), F.col("k").alias("ka")).distinct()
     right = rows.select(F.col("id").alias("match_id"), "k").distinct()
     return alike.select("ka", "k", "likeness").join(left, "ka").join(right, "k").where("query_id <> match_id").select("query_id", "match_id", "likeness")
