@@ -9,6 +9,8 @@ the drawn tokens match all targets in expectation.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ def form_topic(text: Column, n_tokens: Column) -> Column:
 
 def rake(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, tol: float = 1e-10) -> np.ndarray:
     """Factors of cells so that factor * weight sums to ``targets`` over each dimension's ``codes``. Targets of values
-    without weight are spread over the others in proportion."""
+    without weight are spread over the others in proportion. Targets that no factors meet together (a value with a goal
+    whose every cell another target sets to 0) leave the last round's factors, with a warning."""
     factor = np.ones(len(weights))
     if not weights.sum():
         return factor
@@ -46,6 +49,8 @@ def rake(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]
             factor *= ratio[c]
         if off < tol:
             break
+    else:
+        warnings.warn(f"raking is still off by {off:.2g} after {rounds} rounds", stacklevel=2)
     return factor
 
 
@@ -72,6 +77,8 @@ def rake_tables(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 500
             off = max(off, parts[d].agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
         if off < tol:
             break
+    else:
+        warnings.warn(f"raking is still off by {off:.2g} after {rounds} rounds", stacklevel=2)
     return times()
 
 
@@ -92,7 +99,8 @@ def mixed(
     ``factor`` is how often the row is drawn in expectation, ``copies`` how often it is, ``probability`` that with which
     it is drawn at all, and ``kept`` whether it is. ``rate`` is the drawn tokens' share of all tokens, in expectation: at
     0.5 a value can get twice its share before its documents are repeated, at 1 as much is drawn as the table has.
-    ``targets`` maps source, lang and topic to shares by value; one that is missing is tempered from the table. Tokens
+    ``targets`` maps source, lang and topic to shares by value; a dimension that is missing is tempered from the table. A
+    value of the table that a given dimension doesn't name is an error, as its documents would all go; 0 says so. Tokens
     are words. A null source, language or topic is a value of its own, written as an empty string; a text without words has no
     weight and its cell's factor (1 where a cell has no tokens). Rows with one id, and repeated rows, are drawn equally
     often where their cells agree; rows with a null id are decided by their text. No rows give no rows.
@@ -112,6 +120,11 @@ def mixed(
     dims = ["source", "lang", "topic"]
     sums = cut(rows.groupBy(*dims).agg(F.sum("n_tokens").alias("t")))
     spark = docs.sparkSession
+    for d in given:
+        named = spark.createDataFrame([(v,) for v in given[d]], f"{d} string")
+        strange = [r[0] for r in sums.where("t > 0").select(d).distinct().join(named, d, "left_anti").limit(5).collect()]
+        if strange:
+            raise ValueError(f"no target for {d} {', '.join(map(repr, strange))}")
     n, total = sums.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0))).first()
     if n <= LOCAL_CELLS:
         cells = sums.orderBy(*dims).toPandas()
