@@ -406,3 +406,115 @@ def test_pairs_left_aside_are_unlike():
             both = len(np.intersect1d(a, b))
             assert may[i, j] or 100 * both < 80 * (len(a) + len(b) - both)
     assert not may.all()
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.5])
+def test_spot_search_against_all_pairs(spark, threshold):
+    from pyspark.sql import functions as F
+
+    rng, base = np.random.default_rng(70), words(71, 120, 500)
+    rows = []
+    for i in range(80):
+        w = list(base[: int(rng.integers(30, 121))])
+        for j in rng.integers(0, len(w), rng.integers(0, 10)):
+            w[j] = f"x{rng.integers(0, 50)}"
+        rows.append((i, " ".join(["the" if rng.random() < 0.2 else x for x in w])))
+    rows += [(100, rows[0][1]), (101, rows[0][1]), (101, rows[0][1]), (102, None), (103, ""), (104, "!!"), (105, "!!"), (106, "??"), (None, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, k int, n int").repartition(3)
+    sets = {r["doc_id"]: set(r["s"]) for r in docs.where("doc_id is not null").select("doc_id", spotsigs.spots(F.col("text")).alias("s")).collect()}
+    want = {(a, b) for a in sets for b in sets if a % 5 == 0 and a != b and sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-12}
+    got = [(r["query_id"], r["match_id"]) for r in spotsigs.search(docs, F.col("doc_id") % 5 == 0, threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (105, 104) in want and (105, 106) not in want
+
+
+def test_likeness_is_jaccard(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(" ".join(words(80 + i, 40, 60)), " ".join(words(80 + i, 40, 60)[:25] + words(180 + i, 15, 60))) for i in range(20)] + [("", ""), ("!!", "??"), ("!!", "!!"), ("a", ""), (None, "")]
+    df = spark.createDataFrame(rows, "a string, b string").select(spotsigs.spots(F.col("a")).alias("a"), spotsigs.spots(F.col("b")).alias("b"))
+    got = df.select("a", "b", spotsigs.likeness(F.col("a"), F.col("b")).alias("l"), spotsigs.fingerprint(F.col("a")).alias("f")).collect()
+    for r in got:
+        a, b = set(r["a"]), set(r["b"])
+        assert abs(r["l"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12 and len(r["f"].encode()) >= len(a)
+    assert [r["l"] for r in got[-5:]] == [1.0, 0.0, 1.0, 0.0, 1.0]
+
+
+def test_mixing_meets_all_three_targets(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(90)
+    rows = [(i, "w " * int(rng.integers(1, 9)), str(rng.choice(["en", "de", "fr"])), str(rng.choice(["a", "b", "c", "d"], p=[0.7, 0.2, 0.08, 0.02])), 0) for i in range(4000)] + [(5, "w w", "en", "a", 0)] * 3
+    targets = {"source": {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, "lang": {"en": 0.5, "de": 0.5, "fr": 0.0}, "topic": {"0": 0.25, "1": 0.75}}
+    out = mixing.mixed(spark.createDataFrame(rows, SCHEMA), targets, topic=(F.col("doc_id") % 2).cast("string"), rate=1.0).toPandas()
+    got = out.n_tokens * out.factor
+    for d in targets:
+        share = got.groupby(out[d]).sum() / got.sum()
+        assert all(abs(share[v] - x) < 1e-6 for v, x in targets[d].items())
+    assert abs((out.n_tokens * out.copies).sum() / out.n_tokens.sum() - 1) < 0.05 and not out.kept[out.lang == "fr"].any()
+    assert out[out.doc_id == 5].groupby(["source", "lang"]).copies.nunique().max() == 1
+    with pytest.raises(ValueError, match="source"):
+        mixing.mixed(spark.createDataFrame(rows, SCHEMA), {"source": {"a": 1.0}})
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage's rows from the stage before, by plain Python where the rule is plain."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(95)
+    rows = []
+    for i in range(60):
+        w = words(1000 + i, int(rng.integers(20, 90)))
+        rows.append((i, " ".join(w)))
+        if i % 6 == 0:  # a near copy, and an exact one in capitals
+            near = w[:]
+            near[-1] = "changed"
+            rows += [(200 + i, " ".join(near)), (300 + i, " ".join(w).upper())]
+        if i % 7 == 0:
+            rows.append((400 + i, " ".join(w[:10]) + f" password = {''.join(rng.choice(list('abcXYZ019'), 20))} " + " ".join(words(5000 + i, 30))))
+    rows += [(500, "short text"), (501, "a b c d e " * 30), (502, None), (503, ""), (504, "x\n" * 40), (505, "# $ % & | < > * " * 10), (506, "WE SHOUT " * 3 + " ".join(words(1, 9)).upper()), (507, " ".join(words(7777, 9000)))]
+    spark.createDataFrame([(i, t, "en" if i % 3 else "de", f"s{i % 4}", len(t or "")) for i, t in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "packing" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        seen[name] = docs.collect()
+
+    def good(t):
+        w, lines = W.findall(t or ""), [x for x in (t or "").split("\n") if W.search(x)]
+        win = collections.defaultdict(list)
+        for j in range(len(w) - 4):
+            win[tuple(w[j : j + 5])].append(j)
+        again = len({j + k for v in win.values() if len(v) > 1 for j in v for k in range(5)})
+        chars, symbols, upper = sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), sum(c.isupper() for c in t or "")
+        dup = len(lines) - len(set(lines))
+        return not (len(w) < 10 or 100 * again > 20 * len(w) or 100 * symbols > 40 * len(w) or len(lines) >= 4 and 100 * dup > 50 * len(lines) or 100 * upper > 60 * chars or chars < 2 * len(w) or chars > 20 * len(w))
+
+    text = dict(rows)
+    kept = {i for i, t in rows if good(t)}
+    assert {r["doc_id"] for r in seen["quality_rules"]} == kept and 507 in kept and not kept & {500, 501, 502, 503, 504, 505}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i in kept for w in [text[i].lower().split()]}
+    root = {i: i for i in kept}
+    for _ in range(4):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    first = {i for i in kept if root[i] == i}
+    assert {r["doc_id"] for r in seen["minhash_near_dup"]} == first and first < kept
+    clean = {r["doc_id"]: r for r in seen["secret_scans"]}
+    assert set(clean) == first
+    for i in first:
+        hidden = re.sub(secrets.ASSIGN, lambda m: "[SECRET]" if len(m[2]) >= 12 else m[0], text[i])
+        assert clean[i]["text"] == hidden and clean[i]["n_chars"] == len(hidden)
+    drawn = collections.Counter(r["doc_id"] for r in seen["mixing"])
+    plan = mixing.mixed(spark.read.parquet(f"{tmp_path}/secret_scans"), rate=1.0).toPandas()
+    assert drawn == {i: n for i, n in zip(plan.doc_id, plan.copies) if n}
+    t = tokenizers.Tokenizer.from_file(BYTES)
+    want = collections.Counter()
+    for i, n in drawn.items():
+        want[i] = n * (len(t.encode(clean[i]["text"], add_special_tokens=False).ids) + 1)
+    got = collections.Counter()
+    for r in seen["packing"]:
+        got[r["doc_id"]] += r["length"]
+    assert got == want
