@@ -8,7 +8,7 @@ import pytest
 from tilth import plans
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "nation orders lineitem events supplier part embeddings pages".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings pages".split()
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_same_rows_as_sql(spark, duck, name):
             assert x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) < 2e-4), (a, b)
 
 
-@pytest.mark.parametrize("name", ["e16_first_passage", "e18_exercise_boundary", "v08_survival_grid", "d02_empirical_crps"])
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_rows_only(spark, name):
-    assert plans.QUERIES[name](spark, DATA).columns
-    plans.QUERIES[name](spark, DATA).collect()
+    rows = plans.QUERIES[name](spark, DATA)
+    assert len(rows.collect()) >= 0 and len(set(rows.columns)) == len(rows.columns)

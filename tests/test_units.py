@@ -143,3 +143,89 @@ def test_the_rest_works_without_the_training_data_part():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", f.read_text(), re.M)
+
+
+@pytest.mark.parametrize("halflife", [1.0, 3.0])
+def test_weighted_mean_of_a_very_long_series(spark, halflife):
+    rng = np.random.default_rng(11)
+    x = np.where(rng.random(6500) < 0.05, np.nan, rng.normal(10, 3, 6500))  # over 2000 halflives
+    rows = [("a", int(i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("b", 0, None), ("b", 1, 2.0)]
+    df = spark.createDataFrame(rows, "device string, ts long, v double")
+    got = features.ewma_frame(df, "v", "m", halflife, least=3, block=400).where("device = 'a'").orderBy("ts").toPandas()["m"]
+    seen = pd.Series(x).dropna()
+    want = seen.ewm(halflife=halflife).mean().where(np.arange(len(seen)) >= 2).reindex(range(len(x))).ffill()
+    assert np.allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-9, equal_nan=True)
+    short = features.ewma_frame(df, "v", "m", halflife, least=3, block=5).where("device = 'a'").orderBy("ts").toPandas()["m"]
+    assert np.allclose(short.to_numpy(float), want.to_numpy(float), rtol=0.05, equal_nan=True)
+
+
+def test_a_wrong_timestamp_makes_no_endless_grid(spark):
+    from tilth.operators import grid
+
+    rows = spark.sql("SELECT 'a' AS device, ts, 1.0D AS value FROM VALUES (TIMESTAMP_NTZ'2024-01-01 00:00:00'), (TIMESTAMP_NTZ'2924-01-01 00:00:00') t(ts)")
+    with pytest.raises(Exception, match="most_bins"):
+        grid.resample(rows).collect()
+    assert grid.resample(rows, most_bins=10**8).limit(1).count() == 1
+
+
+def test_pictures_come_back():
+    from tilth.sources import raster
+
+    cells = np.random.default_rng(12).normal(size=(3, 5, 7)).astype(np.float32)
+    assert (raster.decode(raster.encode(cells)) == cells).all()
+    for bad in (b"PK12", b"II*\0"[:4] + b"\0" * 3):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            raster.decode(bad)
+
+
+def test_camera_file_names(spark):
+    from pyspark.sql import functions as F
+
+    names = ["DJI_20260108152708_0001_MS_G_point1.TIF", "DJI_20260108152708_0001_D_point12.JPG", "DJI_20260108152708_0001_MS_RE_point3.TIF", "DJI_20260108152708_0001_PPKNAV.nav", "20260108_152708_1_MSG.TIF", None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [tuple(r) for r in df.select(*parsing.capture_fields(F.col("name")).values()).collect()]
+    assert got[:3] == [("20260108152708", "0001", "MS_G", 1), ("20260108152708", "0001", "D", 12), ("20260108152708", "0001", "MS_RE", 3)]
+    assert got[3:] == [(None,) * 4] * 3
+
+
+def test_censored_curves_against_counting():
+    rng = np.random.default_rng(13)
+    time, event = rng.integers(1, 26, 400), rng.random(400) < 0.5
+    event &= time <= 24
+    s, g = kernels.product_limit(time, event, 24), kernels.censoring_curve(time, event, 24)
+    a = b = 1.0
+    for h in range(1, 25):
+        n = (time >= h).sum()
+        a *= 1 - ((time == h) & event).sum() / n
+        b *= 1 - ((time == h) & ~event).sum() / n
+        assert np.isclose(s[h - 1], a) and np.isclose(g[h], b)
+    surv = np.tile(s, (400, 1))
+    h = 10
+    want = np.mean([s[h - 1] ** 2 / max(g[t - 1], 1e-6) if e and t <= h else (1 - s[h - 1]) ** 2 / max(g[h], 1e-6) if t > h else 0.0 for t, e in zip(time, event)])
+    assert np.isclose(kernels.censored_brier(time, event, surv, g)[h - 1], want)
+    assert (kernels.product_limit(np.zeros(0, int), np.zeros(0, bool), 5) == 1).all()
+
+
+def test_services_by_recorded_answers(spark):
+    import io
+    import json
+
+    from tilth.sources import services
+
+    asked = []
+
+    def opener(request, timeout=None):
+        asked.append(request.full_url)
+        return io.BytesIO(json.dumps({"daily": {"time": ["2024-01-01", "2024-01-02"], "t": [1.5, None]}}).encode())
+
+    rows = services.fetch_daily(spark, "https://x.example.org/v1", parsing.archive_params("2024-01-01", "2024-01-02", 1.0, 2.0, ("t",)), {"t": "temp"}, opener).collect()
+    assert [r["temp"] for r in rows] == [1.5, None] and "start_date=2024-01-01" in asked[0]
+    with pytest.raises(Exception, match="hourly"):
+        services.fetch_vintages(spark, "https://x.example.org/v1", parsing.previous_runs_params("a", "b", 1.0, 2.0, ("t",)), opener).collect()
+    with pytest.raises(ValueError, match="token"):
+        services.SeriesClient("https://x.example.org", None, "o", "b")
+    text = "#datatype,string\n,result,_time,moisture,other\n,_r,2024-01-01T00:00:00Z,21.5,x\n,_r,2024-01-01T01:00:00Z,bad,y\n"
+    client = services.SeriesClient("https://x.example.org", "t", "o", "b", opener=lambda r, timeout=None: io.BytesIO(text.encode()))
+    assert [r["moisture"] for r in client.read(spark, "d", ["moisture", "absent"]).orderBy("ts").collect()] == [21.5, None]
+    with pytest.raises(ValueError):
+        parsing.forecast_params(17, 1.0, 2.0, ("t",))
