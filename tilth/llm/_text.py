@@ -155,12 +155,28 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def blobs(col) -> list[np.ndarray]:
-    """The uint64 arrays packed in a binary column."""
-    buf, off = flat(col)
-    return [buf[a:b].copy().view(np.uint64) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+def byte_planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers as ``width`` byte planes, compressed."""
+    import zstandard
 
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-def packed(arrays: list[np.ndarray]) -> pa.Array:
-    """A binary column of arrays' bytes, the reverse of blobs()."""
-    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+def from_byte_planes(data: bytes, width: int) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def packed_sets(sets: list[np.ndarray]) -> pa.Array:
+    """A binary column of sorted 64-bit hashes, 48 bits of each, as differences."""
+    return pa.array([byte_planes(np.diff(s >> _U(16), prepend=_U(0)), 6) for s in sets], pa.binary())
+
+
+def unpacked_sets(col) -> list[np.ndarray]:
+    """The 48-bit hashes of packed_sets()."""
+    return [np.cumsum(from_byte_planes(x, 6), dtype=np.uint64) for x in col.to_pylist()]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._cluster import parts_for
-from ._text import flat, mix, runs, words
+from ._text import byte_planes, flat, from_byte_planes, mix, runs, words
 
 BLOCK_BYTES = 8 << 20
 #: Messages that a block or node writes, and that a node merges, at most.
@@ -42,23 +42,6 @@ _START, _END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 _FACTOR = _U(0x2545F4914F6CDD1D)
 
 
-def _packed(values: np.ndarray, width: int) -> bytes:
-    """Numbers as ``width`` byte planes, compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(data: bytes, width: int) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 class Routes:
     """How the messages of ``blocks`` blocks are routed: over ``hops`` hops with ``fan`` digits each."""
 
@@ -86,17 +69,17 @@ class Routes:
         cuts = np.searchsorted(digit, np.arange(self.fan + 1))
         for d, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             if b > a or order == 0:
-                yield d, _packed(np.diff(local[a:b], prepend=_U(0)), self.width), _packed(counts[a:b], 5)
+                yield d, byte_planes(np.diff(local[a:b], prepend=_U(0)), self.width), byte_planes(counts[a:b], 5)
 
 
 class _Merged:
     """What a node's messages of one order ask: the distinct keys, their counts added up, and each message's places."""
 
     def __init__(self, table: pa.Table, routes: Routes):
-        parts = [np.cumsum(_unpacked(k, routes.width), dtype=_U) for k in table.column("keys").to_pylist()]
+        parts = [np.cumsum(from_byte_planes(k, routes.width), dtype=_U) for k in table.column("keys").to_pylist()]
         self.cuts = np.cumsum([0, *map(len, parts)]).tolist()
         keys = np.concatenate(parts)
-        counts = np.concatenate([_unpacked(c, 5) for c in table.column("counts").to_pylist()]).astype(np.int64)
+        counts = np.concatenate([from_byte_planes(c, 5) for c in table.column("counts").to_pylist()]).astype(np.int64)
         by = np.argsort(keys, kind="stable")
         new = np.ones(len(by), bool)
         new[1:] = keys[by][1:] != keys[by][:-1]
@@ -108,7 +91,7 @@ class _Merged:
     def answers(self, table: pa.Table, totals: np.ndarray, stats: tuple[int, int, int]) -> pa.RecordBatch:
         """``totals`` of the distinct keys, for each message in its own order."""
         each = totals[self.at] if len(self.at) else self.at
-        back = [_packed(each[a:b], 5) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        back = [byte_planes(each[a:b], 5) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
         cols = [table.column(c).combine_chunks() for c in ("node", "child", "order")]
         cols += [pa.array(back, pa.binary()), *(pa.array([x] * table.num_rows, pa.int64()) for x in stats)]
         return pa.RecordBatch.from_arrays(cols, ["node", "child", "order", "totals", "tokens", "types", "once"])
@@ -228,7 +211,7 @@ def _totals(asked: DataFrame, n: int, routes: Routes, hop: int = 1) -> DataFrame
             answers = right.take(np.flatnonzero(back_order == order)).sort_by("node")
             by, _ = passed_on(merged)
             totals = np.empty(len(by), np.int64)
-            totals[by] = np.concatenate([_unpacked(t, 5) for t in answers.column("totals").to_pylist()]) if len(by) else 0
+            totals[by] = np.concatenate([from_byte_planes(t, 5) for t in answers.column("totals").to_pylist()]) if len(by) else 0
             out.append(merged.answers(table, totals, tuple(int(answers.column(c).to_numpy().sum()) for c in ("tokens", "types", "once"))))
         return pa.Table.from_batches(out)
 
@@ -323,7 +306,7 @@ def score_texts(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
         cuts = np.searchsorted(order, np.arange(4)).tolist()
         counts = []
         for o in range(3):
-            parts = [_unpacked(t, 5) for t in right.column("totals").slice(cuts[o], cuts[o + 1] - cuts[o]).to_pylist()]
+            parts = [from_byte_planes(t, 5) for t in right.column("totals").slice(cuts[o], cuts[o + 1] - cuts[o]).to_pylist()]
             counts.append(block.answered(o, np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)))
         tokens, types, once = (int(right.column(c).to_numpy().sum()) for c in ("tokens", "types", "once"))
         if block.start >= 0:  # the start is no token; as a context it counts the texts learned from, which is told by the ends

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from ._cluster import components, cut, release
-from ._text import blobs, mix, packed, runs, shingles, slices, words
+from ._text import mix, packed_sets, runs, shingles, slices, unpacked_sets, words
 
 VALUES, CHUNK, BITS = 32, 4, 16
-#: Classes of a cluster that one tile compares with as many others.
-TILE = 1024
+#: Classes of a cluster, and shingles in them, that one tile compares with as many others.
+TILE, TILE_SHINGLES = 2048, 4 << 20
 _U = np.uint64
 _FACTORS = np.random.default_rng(71).integers(1, 1 << 63, VALUES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -167,13 +167,15 @@ def near_duplicates(
     """
     info = cut(described(docs, id_col, text_col, width))
     some = info.where("fp is not null and doc_id is not null")
-    classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
     filed = classes.select("rep", F.explode("keys").alias("key"))
     hubs = filed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
     stars = filed.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = cut(components(stars).withColumnRenamed("component", "cluster"))
     release(docs.sparkSession)  # the keys' shuffles are done with
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
+    sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
+    tiles = F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).cast("int")
+    sizes = sized.groupBy("cluster").agg(tiles.alias("tiles"))
     members = clusters.join(sizes, "cluster").select(F.col("node").alias("doc_id"), "cluster", "tiles")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     joined = texts.join(members, "doc_id")
@@ -184,7 +186,7 @@ def near_duplicates(
                 _, _, row, h = words(buf, off)
                 sets = shingles(h, row, part.num_rows, width)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), part.column(3), packed(sets)], ["doc_id", "cluster", "tiles", "shingles"]
+                    [part.column(0), part.column(2), part.column(3), packed_sets(sets)], ["doc_id", "cluster", "tiles", "shingles"]
                 )
 
     sets = joined.select("doc_id", "text", "cluster", "tiles").mapInArrow(
@@ -204,7 +206,7 @@ def near_duplicates(
         for table in runs(batches, ["cluster", "ti", "tj"]):
             ids = table.column("doc_id").to_numpy()
             order = np.unique(ids, return_index=True)[1]  # repeated rows of one id count once, and ids ascend
-            bags = blobs(table.column("shingles"))
+            bags = unpacked_sets(table.column("shingles"))
             for i, k in _linked([bags[j] for j in order], num, den):
                 a.append(ids[order[i]])
                 b.append(ids[order[k]])
