@@ -125,6 +125,10 @@ def test_pivot_and_alias(spark):
     rows = spark.createDataFrame([("d", 1, "x", "2.5"), ("d", 1, "y", "bad")], "device string, ts int, measurement string, value string")
     r = parsing.pivoted(rows, "d", ["x", "y"]).collect()[0]
     assert r["x"] == 2.5 and r["y"] is None
+    many = [("d", 1, "x", "bad"), ("d", 1, "x", "2.5"), ("d", 1, "x", "10"), ("d", 1, "y", "7"), ("d", 1, "y", None)]
+    for order in (many, many[::-1]):
+        r = parsing.pivoted(spark.createDataFrame(order, rows.schema).coalesce(1), "d", ["x", "y"]).collect()[0]
+        assert (r["x"], r["y"]) == (10.0, 7.0)
     names = {r["measurement"] for r in parsing.aliased(rows, {"x": "moisture"}, {("d", "y"): "special"}).collect()}
     assert names == {"moisture", "special"}
 

@@ -29,11 +29,11 @@ def flux_query(device: str, measurements: list[str], bucket: str, start: str = "
 
 def pivoted(rows: DataFrame, device: str, names: list[str], start=None, stop=None) -> DataFrame:
     """What that query answers, over a long table (device, ts, measurement, value): a row a time, a column a
-    measurement, values that aren't numbers missing."""
+    measurement, values that aren't numbers missing. Of several numbers of one time the largest counts, whatever their order."""
     kept = rows.where((F.col("device") == device) & F.col("measurement").isin(names))
     kept = kept.where(F.col("ts") >= start) if start is not None else kept
     kept = kept.where(F.col("ts") < stop) if stop is not None else kept
-    return kept.groupBy("device", "ts").pivot("measurement", names).agg(F.first(F.expr("try_cast(value as double)")))
+    return kept.groupBy("device", "ts").pivot("measurement", names).agg(F.max(F.expr("try_cast(value as double)")))
 
 
 def aliased(rows: DataFrame, default: dict[str, str], override: dict[tuple[str, str], str]) -> DataFrame:
