@@ -518,3 +518,44 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in seen["packing"]:
         got[r["doc_id"]] += r["length"]
     assert got == want
+
+
+def test_sketches_rule_out_only_unlike_sets():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(61)
+    base = rng.integers(0, 1 << 64, 700, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.permutation(base)[: rng.integers(1, 701)], rng.integers(0, 1 << 64, rng.integers(0, 60), dtype=np.uint64)))) for _ in range(60)]
+    sets += [np.unique(np.concatenate((base[rng.integers(0, 60) :], rng.integers(0, 1 << 64, rng.integers(1, 40), dtype=np.uint64)))) for _ in range(30)]
+    sets += [np.unique(rng.integers(0, 9, rng.integers(1, 9)).astype(np.uint64) << np.uint64(58)) for _ in range(30)]
+    sets += [np.arange(4000, dtype=np.uint64) << np.uint64(40), np.arange(4400, dtype=np.uint64) << np.uint64(40)]  # more than 255 in a range
+    for num in (80, 50):
+        made = near_dup.Sketched(pa.array(near_dup.sketches(sets)), np.array([len(s) for s in sets]), num, 100)
+        i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+        close = made.close(i, j)
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+        alike = 100 * both >= num * (made.sizes[i] + made.sizes[j] - both)
+        assert close[alike].all() and (i != j)[alike].any() and close.mean() < 2 * alike.mean() < 1
+        a, b = made.joined(np.arange(len(sets)))
+        link = np.eye(len(sets), dtype=bool)
+        link[a, b] = link[b, a] = True
+        label = near_dup._settled(link)
+        assert (label[i] == label[j])[close].all()
+
+
+@pytest.mark.parametrize(("tile", "few"), [(4096, 8), (16, 1)])
+def test_keys_shared_by_chance_make_no_cluster(spark, monkeypatch, tile, few):
+    monkeypatch.setattr(near_dup, "KEY_TILE", tile)
+    monkeypatch.setattr(near_dup, "FEW", few)
+    from pyspark.sql import functions as F
+
+    shared, rows = words(62, 120, 10**6), []
+    for i in range(60):  # a third of each text is common to all
+        own = words(100 + i, 120, 10**6)
+        rows.append((i, " ".join(shared + own)))
+    rows += [(60 + i, f"{text} end{i}") for i, text in rows[:3]]
+    classes = near_dup.described(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "sketch").localCheckpoint()
+    keys = classes.select("rep", F.explode("keys").alias("key"))
+    assert keys.groupBy("key").count().agg(F.max("count")).first()[0] > 5  # by keys alone most would be one cluster
+    found = near_dup.components(near_dup.candidates(classes, 80, 100)).collect()
+    assert {(r["node"], r["component"]) for r in found} == {(60 + i, i) for i in range(3)} | {(i, i) for i in range(3)}

@@ -155,6 +155,37 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """As runs(), but as many whole runs at once as a batch ends, with the number of each row's run."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        change = np.zeros(table.num_rows, bool)
+        for k in keys:
+            c = table.column(k).to_numpy()
+            change[1:] |= c[1:] != c[:-1]
+        return table, np.cumsum(change)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        last = np.ones(batch.num_rows, bool)
+        for c in cols:
+            last &= c == c[-1]
+        start = batch.num_rows - int(np.argmin(last[::-1])) if not last.all() else 0
+        before = held[-1].slice(held[-1].num_rows - 1) if held else None
+        if start or (before and any(before.column(before.schema.get_field_index(k))[0].as_py() != c[0] for k, c in zip(keys, cols, strict=True))):
+            if start:
+                held.append(batch.slice(0, start))
+            yield numbered()
+            held = []
+        held.append(batch.slice(start))
+    if held:
+        yield numbered()
+
+
 def byte_planes(values: np.ndarray, width: int) -> bytes:
     """Numbers as ``width`` byte planes, compressed."""
     import zstandard

@@ -6,10 +6,13 @@ pigeonhole, two signatures at a distance of at most 8 * (1 + 1) - 1 = 15 agree,
 at most; so each chunk is filed under its 4 keys of 3 values (one error allowed at each place), and no pair within
 that distance is missed. At j = 0.8 a pair shares none of the 32 keys with probability 1.1e-6.
 
-Candidates are never listed as pairs. Texts with one shingle set are one class. A key links each class to its
-smallest; connected components of these links are clusters, which hold every candidate pair. Within a cluster (large
-ones are cut into square tiles, all of which are compared) pairs that share none of their rarest shingles, of which two
-sets alike enough must share one, are left aside, and the full sets decide on the rest: no pair of a cluster is lost.
+Texts with one shingle set are one class. The classes of one key are compared by sketches: how many hashes of a set fall
+into each of so many equal ranges. Two sketches differ by no more than the sets do, so a pair whose sketches differ by
+more than alike sets may is ruled out for certain, and chance keys, which grow with the square of the input, tie no
+unlike texts together. Connected components of what is left are clusters; they hold every pair that shares a key and is
+alike. Within a cluster (large ones are cut into square tiles, all of which are compared) pairs that share none of their
+rarest shingles, of which two sets alike enough must share one, are left aside, and the full sets decide on the rest: no
+pair of a cluster is lost.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from ._cluster import components, cut, release
-from ._text import mix, packed_sets, runs, shingles, slices, unpacked_sets, words
+from ._text import flat, mix, packed_sets, runs, shingles, slices, unpacked_sets, whole_runs, words
 
 VALUES, CHUNK, BITS = 32, 4, 16
 #: Classes of a cluster, and shingles in them, that one tile compares with as many others.
 TILE, TILE_SHINGLES = 2048, 4 << 20
+#: Classes of a key that one tile compares with as many others; up to so many of one key are compared pair by pair.
+KEY_TILE, FEW = 4096, 8
 _U = np.uint64
 _FACTORS = np.random.default_rng(71).integers(1, 1 << 63, VALUES, dtype=np.uint64) * _U(2) + _U(1)
 
@@ -57,8 +62,76 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1) if len(sig) else np.zeros((0, VALUES), np.uint64)
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """For each set, how many of its hashes (up to 255) fall into each of 2**k equal ranges, one range for 2 to 4 hashes."""
+    out = []
+    for s in sets:
+        k = max(4, (-(-len(s) // 4) - 1).bit_length())
+        count = np.bincount((s >> _U(64 - k)).astype(np.int64), minlength=1 << k)
+        out.append(np.minimum(count, 255).astype(np.uint8).tobytes())
+    return out
+
+
+class Sketched:
+    """Sets known by size and sketch, to be told apart."""
+
+    def __init__(self, sketch, sizes: np.ndarray, num: int, den: int):
+        buf, off = flat(sketch)
+        self.sizes, self.num, self.den = sizes, num, den
+        self.bins, self.at, self.rows = np.diff(off), np.zeros(len(sizes), np.int64), {}
+        for b in np.unique(self.bins).tolist():
+            mine = np.flatnonzero(self.bins == b)
+            self.at[mine] = np.arange(len(mine))
+            self.rows[b] = buf[off[mine][:, None] + np.arange(b)]
+
+    def _folded(self, i: np.ndarray, bins: int, to: int) -> np.ndarray:
+        rows = self.rows[bins][self.at[i]]
+        return rows if bins == to else np.minimum(rows.reshape(len(i), to, -1).sum(2), 255).astype(np.uint8)
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether sets i[k] and j[k] may have den * |i & j| >= num * |i | j|; never false if they have. With d elements
+        in just one of the sets that is d * (den + num) <= (den - num) * (|i| + |j|), and sketches differ by d at most."""
+        out = np.zeros(len(i), bool)
+        left = np.flatnonzero(
+            self.den * np.minimum(self.sizes[i], self.sizes[j]) >= self.num * np.maximum(self.sizes[i], self.sizes[j])
+        )
+        code = self.bins[i[left]] << 32 | self.bins[j[left]]
+        for c in np.unique(code).tolist():
+            p, q = c >> 32, c & 0xFFFFFFFF
+            mine, step = left[code == c], max(1, (8 << 20) // max(p, q))
+            for low in range(0, len(mine), step):
+                k = mine[low : low + step]
+                a, b = self._folded(i[k], p, min(p, q)), self._folded(j[k], q, min(p, q))
+                apart = (np.maximum(a, b) - np.minimum(a, b)).sum(1, dtype=np.int64)
+                out[k] = apart * (self.den + self.num) <= (self.den - self.num) * (self.sizes[i[k]] + self.sizes[j[k]])
+        return out
+
+    def joined(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Links that join all close pairs of ``rows``, as (row, first row of its component)."""
+        left, found = rows[np.argsort(self.sizes[rows], kind="stable")], []
+        while len(left) > 1:
+            root, left = left[0], left[1:]
+            front = np.array([root])
+            while len(front) and len(left):
+                hit = np.zeros(len(left), bool)
+                if len(front) <= len(left):
+                    for f in front:
+                        a = np.searchsorted(self.sizes[left] * self.den, self.num * self.sizes[f])
+                        b = np.searchsorted(self.sizes[left] * self.num, self.den * self.sizes[f], side="right")
+                        new = np.flatnonzero(~hit[a:b]) + a
+                        hit[new] = self.close(np.full(len(new), f), left[new])
+                else:
+                    for k, x in enumerate(left):
+                        hit[k] = self.close(np.full(len(front), x), front).any()
+                front, left = left[hit], left[~hit]
+                found += [(front, np.full(len(front), root))]
+        empty = np.zeros(0, np.int64)
+        return tuple(np.concatenate([empty, *x]) for x in zip(*found, strict=True)) if found else (empty, empty)
+
+
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, fp, keys): the set's size, its 128-bit digest and its chunk keys. One pass, no shuffle."""
+    """(doc_id, n_shingles, fp, keys, sketch): the set's size, its 128-bit digest, its chunk keys and its sketch. One pass,
+    no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,15 +146,50 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxh3_128_digest(s.tobytes()) if f else None for s, f in zip(sets, full, strict=True)], pa.binary()),
                         pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
+                        pa.array([s if f else None for s, f in zip(sketches(sets), full, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "fp", "keys"],
+                    ["doc_id", "n_shingles", "fp", "keys", "sketch"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, fp binary, keys array<long>"
+        run, "doc_id long, n_shingles long, fp binary, keys array<long>, sketch binary"
     )
 
 
+def candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join all classes (rep, n, keys, sketch) that share a key and that their sketches don't tell apart."""
+    filed = classes.select("rep", F.explode("keys").alias("key"))
+    tiles = F.ceil(F.count("*") / F.lit(KEY_TILE)).cast("int")
+    shared = filed.groupBy("key").agg(F.count("*").alias("n"), tiles.alias("tiles")).where("n > 1").select("key", "tiles")
+    rows = filed.join(shared, "key").join(classes.select("rep", "n", "sketch"), "rep")
+    rows = in_tiles(rows, "rep").select("key", "ti", "tj", "rep", "n", "sketch")
+
+    def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_runs(batches, ["key", "ti", "tj"]):
+            ids, size = table.column("rep").to_numpy(), np.bincount(group)
+            sets = Sketched(table.column("sketch"), table.column("n").to_numpy(), num, den)
+            found = []
+            for d in range(1, min(FEW, int(size.max()))):
+                i = np.flatnonzero((group[:-d] == group[d:]) & (size[group[d:]] <= FEW))
+                near = i[sets.close(i, i + d)]
+                found.append((near, near + d))
+            first = np.cumsum(size) - size
+            found += [sets.joined(np.arange(first[g], first[g] + size[g])) for g in np.flatnonzero(size > FEW)]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
+
+    return rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj").mapInArrow(links_of, "a long, b long")
+
+
+def in_tiles(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows``, whose groups are cut into ``tiles`` parts, once for each pair of parts (ti, tj) in which they are compared."""
+    mine = F.pmod(F.xxhash64(id_col), F.col("tiles")).cast("int")
+    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = rows.withColumn("mine", mine).withColumn("other", other).where("tiles = 1 or other <> mine")
+    return pairs.withColumn("ti", F.least("mine", "other")).withColumn("tj", F.greatest("mine", "other")).drop("mine", "other")
+
+
 def _linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that join all sets i, j with den * |i & j| >= num * |i | j|, as (set, smallest of its component)."""
     label = np.arange(len(sets))
@@ -167,11 +275,10 @@ def near_duplicates(
     """
     info = cut(described(docs, id_col, text_col, width))
     some = info.where("fp is not null and doc_id is not null")
-    classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n"))
-    filed = classes.select("rep", F.explode("keys").alias("key"))
-    hubs = filed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    stars = filed.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
-    clusters = cut(components(stars).withColumnRenamed("component", "cluster"))
+    classes = some.groupBy("fp").agg(
+        F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("keys", "sketch")], F.first("n_shingles").alias("n")
+    )
+    clusters = cut(components(candidates(classes, num, den)).withColumnRenamed("component", "cluster"))
     release(docs.sparkSession)  # the keys' shuffles are done with
     sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(TILE)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES))).cast("int")
@@ -192,14 +299,7 @@ def near_duplicates(
     sets = joined.select("doc_id", "text", "cluster", "tiles").mapInArrow(
         sets_of, "doc_id long, cluster long, tiles int, shingles binary"
     )
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")
-    other = F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = (
-        sets.withColumn("mine", mine)
-        .withColumn("other", other)
-        .where("tiles = 1 or other <> mine")
-        .select("cluster", F.least("mine", "other").alias("ti"), F.greatest("mine", "other").alias("tj"), "doc_id", "shingles")
-    )
+    tiled = in_tiles(sets, "doc_id").select("cluster", "ti", "tj", "doc_id", "shingles")
 
     def links_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
