@@ -133,6 +133,15 @@ def test_pivot_and_alias(spark):
     assert names == {"moisture", "special"}
 
 
+def test_quantiles_are_the_sql_to_the_last_digit(spark):
+    import duckdb
+
+    from tilth import plans
+
+    got = plans.QUERIES["x11_quantiles"](spark, "").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(plans.ORACLE_SQL["x11_quantiles"]).fetchall())
+
+
 def test_split_keeps_groups_whole(spark):
     df = spark.createDataFrame([(f"g{i % 5}",) for i in range(50)], "g string")
     s = screening.split_groups(df, "g", 0.2, 7)
