@@ -142,6 +142,16 @@ def test_quantiles_are_the_sql_to_the_last_digit(spark):
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(plans.ORACLE_SQL["x11_quantiles"]).fetchall())
 
 
+def test_rounding_as_the_sql_rounds(spark):
+    import duckdb
+
+    from tilth.plans.sensor import r6_binary
+
+    values = [s * v / 100 * 1.01 for v in (k / 1000 for k in range(5, 40_000, 10)) for s in (1, -1)] + [0.0, 1e301, 5e-324, 0.4999999999999999e-6, 1e18 + 128, None]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(r6_binary("v", "x")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+
+
 def test_split_keeps_groups_whole(spark):
     df = spark.createDataFrame([(f"g{i % 5}",) for i in range(50)], "g string")
     s = screening.split_groups(df, "g", 0.2, 7)

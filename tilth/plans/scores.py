@@ -10,7 +10,7 @@ from ..sources import views
 from .decisions import _EVENTS, _MASK, _STUDY, _SURV, _KM, _VOL, HOURS, found_events, labelled, study, volatility
 from .plots import _PX, _RANGES, _RANKED, ranked
 from .registry import FOLDS, GRID, ORACLE_SQL, WEATHER, query
-from .sensor import _SCORED, _VINTAGE, ALERT_BELOW, folded, hourly, r6, scored, stacked, with_vintages, with_weather
+from .sensor import _SCORED, _VINTAGE, ALERT_BELOW, folded, hourly, r6, r6_binary, scored, stacked, with_vintages, with_weather
 from .small import declared_features
 
 _COUNTS = "count(*) FILTER (y < 25 AND pred < 25) AS tp, count(*) FILTER (NOT y < 25 AND pred < 25) AS fp, count(*) FILTER (y < 25 AND NOT pred < 25) AS fn, count(*) FILTER (NOT y < 25 AND NOT pred < 25) AS tn"
@@ -174,7 +174,7 @@ def j04_index_outer_join(spark, sf_dir):
 @query(f"{_VINTAGE} SELECT device, ts, round(precip_mm_prev1, 6) AS precip_mm_prev1, round(et0_mm_prev2, 6) AS et0_mm_prev2 FROM jv")
 def j06_vintage_join(spark, sf_dir):
     """Archived forecasts by hour; an hour without one stays, missing."""
-    return with_vintages(spark, sf_dir).select("device", "ts", r6("precip_mm_prev1", "precip_mm_prev1"), r6("et0_mm_prev2", "et0_mm_prev2"))
+    return with_vintages(spark, sf_dir).select("device", "ts", *[r6_binary(c, c) for c in ("precip_mm_prev1", "et0_mm_prev2")])
 
 
 @query(f"""{_EVENTS} SELECT ev.device, "start", round(a.precip_mm, 6) AS day_mm, round(b.precip_mm, 6) AS day_before_mm FROM ev LEFT JOIN wd a ON a.date = CAST("start" AS DATE) LEFT JOIN wd b ON b.date + 1 = CAST("start" AS DATE)""")

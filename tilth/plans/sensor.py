@@ -19,6 +19,13 @@ def r6(c: Column | str, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name) if name else F.round(c, 6)
 
 
+def r6_binary(c: Column | str, name: str) -> Column:
+    """Rounded as the SQL rounds: the double times a million, halves away from zero. r6() rounds the shortest decimal that
+    stands for the double, which differs where the product is a half but the decimal isn't, or the other way."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.abs(c) < 1e300, F.round(c * 1e6, 0) / 1e6).otherwise(c).alias(name)
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.resample(views.readings(spark, sf_dir))
 
